@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import pieces, tokencount
+from . import fingerprint, pieces, tokencount
 
-MODULES = (tokencount, pieces)
+MODULES = (tokencount, pieces, fingerprint)
 
 
 def queries() -> dict:
