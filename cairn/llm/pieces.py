@@ -19,12 +19,11 @@ from pyspark.sql import DataFrame
 
 from . import common
 from .common import rows_mapped, shipped, vocabulary_bytes
+from .lookup import Lookup
 
 shipped(__name__)
 META = "▁"
 PLACE, GONE, NEVER, SHORT = (1 << 40) - 1, -2, 1 << 40, 32
-SHIFT, NONE = np.uint64(45), np.uint64(2**64 - 2)
-FACTORS = [0x9E3779B97F4A7C15 + 2 * 0x5851F42D4C957F2D * k & (1 << 64) - 1 for k in range(64)]  # odd
 
 
 class Codec:
@@ -52,18 +51,10 @@ class Codec:
         lines = not any("\n" in p for p in self.id)
         self.segment = re.compile(".+" if crossed else f"{META}+[^{META}\n]*|[^{META}\n]+|\n" if lines else f"{META}*[^{META}]+|{META}+", re.S)
 
-        #: The merges in tables addressed by a hash; each further one holds what found its slot taken in those before.
-        self.tables, rest = [], np.array(list(self.merge), np.uint64)
-        while len(rest):
-            factor = np.uint64(FACTORS[len(self.tables)])
-            k = (rest * factor >> SHIFT).astype(np.int64)
-            keys, at, to = np.full(1 << 19, NONE, np.uint64), np.zeros(1 << 19, np.int64), np.zeros(1 << 19, np.int64)
-            _, first = np.unique(k, return_index=True)
-            own = rest[first]
-            keys[k[first]], at[k[first]] = own, [self.merge[x][0] >> 40 for x in own.tolist()]
-            to[k[first]] = [self.merge[x][1] for x in own.tolist()]
-            self.tables.append((factor, keys, at, to))
-            rest = np.setdiff1d(rest, own)
+        pairs = list(self.merge)
+        self.find = Lookup(np.array(pairs, np.uint64))
+        self.places = np.array([*(self.merge[k][0] >> 40 for k in pairs), NEVER], np.int64)
+        self.merged = np.array([*(self.merge[k][1] for k in pairs), -1], np.int64)
         self.by_code = np.full(0x110000, -1, np.int64)
         for x, i in self.symbol.items():
             self.by_code[ord(x)] = i
@@ -149,13 +140,8 @@ class Codec:
 
     def looked_up(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The places on the agenda of pairs of ids (NEVER: no such merge) and the merged ids."""
-        pair = np.where((a | b) >= 0, a << 20 | b, -1).astype(np.uint64)
-        places, merged = np.full(pair.shape, NEVER), np.zeros(pair.shape, np.int64)
-        for factor, keys, at, to in self.tables:
-            k = (pair * factor >> SHIFT).astype(np.int64)
-            found = keys[k] == pair
-            places, merged = np.where(found, at[k], places), np.where(found, to[k], merged)
-        return places, merged
+        k = self.find(np.where((a | b) >= 0, a << 20 | b, (1 << 60) + 1).astype(np.uint64))
+        return self.places[k], self.merged[k]
 
     def encode(self, text: str | None) -> list[int]:
         """All ids of a text, the end id last."""

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import fingerprint, pieces, tokencount
+from . import fingerprint, langid, pieces, tokencount
 
-MODULES = (tokencount, pieces, fingerprint)
+MODULES = (tokencount, pieces, langid, fingerprint)
 
 
 def queries() -> dict:
