@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import fingerprint, langid, pieces, tokencount
+from . import fingerprint, langid, packing, pieces, tokencount, urlfilter
 
-MODULES = (tokencount, pieces, langid, fingerprint)
+MODULES = (tokencount, packing, urlfilter, pieces, langid, fingerprint)
 
 
 def queries() -> dict:
