@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import fingerprint, langid, packing, pieces, pii, tokencount, urlfilter
+from . import fingerprint, langid, packing, pieces, pii, quality, tokencount, urlfilter
 
-MODULES = (tokencount, packing, urlfilter, pii, pieces, langid, fingerprint)
+MODULES = (tokencount, packing, urlfilter, quality, pii, pieces, langid, fingerprint)
 
 
 def queries() -> dict:
