@@ -115,7 +115,7 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes | None]:
 
 def rows_mapped(df: DataFrame, of_texts: Callable[[], Callable[[list[bytes | None]], list[tuple]]], fields: str, keys: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """keys and what of_texts() makes of a batch of texts, a tuple for each, as columns named in fields ("a long, b string")."""
-    df = df.select(*keys, text)
+    df = df.select(*keys, *([] if text in keys else [text]))
     names = [x.split()[0] for x in fields.split(",")]
     schema = ", ".join([*(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys), fields])
     arrow = pa.schema([(n, {"long": pa.int64(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}[x.split()[1]]) for n, x in zip(names, fields.split(","))])
@@ -130,3 +130,32 @@ def rows_mapped(df: DataFrame, of_texts: Callable[[], Callable[[list[bytes | Non
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keys), *columns], names=[*keys, *names])
 
     return df.mapInArrow(run, schema)
+
+
+def rows_filtered(df: DataFrame, of_texts: Callable[[], Callable[[list[bytes | None]], list[bool]]], text: str = "text") -> DataFrame:
+    """The rows of df, all columns as they are, for whose text of_texts() says true."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = of_texts()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                yield part.filter(pa.array(f(texts_of(part, text)), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
+#: Rows up to which a table of keys is broadcast; beyond it the join shuffles.
+BROADCAST_ROWS = 1_000_000
+
+
+def near(df: DataFrame, n: int) -> DataFrame:
+    """df, of n rows of a few numbers each, marked for broadcast if n is within the bound."""
+    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+
+
+def without(docs: DataFrame, key: Column, dropped_keys: DataFrame) -> DataFrame:
+    """docs without the rows whose key is in dropped_keys (a staged table of one column)."""
+    name = "__cairn_key"
+    gone = dropped_keys.toDF(name)
+    return docs.withColumn(f"{name}_own", key).join(near(gone, gone.count()), F.col(f"{name}_own").eqNullSafe(F.col(name)), "left_anti").drop(f"{name}_own")

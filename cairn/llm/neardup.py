@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .common import WordHashes, dropped, mixed, shipped, staged, texts_of, windows
+from .common import WordHashes, dropped, mixed, near, shipped, staged, texts_of, windows
 from .components import components
 
 shipped(__name__)
@@ -34,7 +34,6 @@ shipped(__name__)
 SHINGLE, FUNCTIONS, ROWS, BANDS = 5, 64, 5, 25
 #: Pairs whose 128 values agree in a smaller share than threshold - MARGIN are not confirmed (over five standard deviations).
 MARGIN = 0.15
-BROADCAST_ROWS = 1_000_000
 BLOCK = 256
 _draw = np.random.default_rng(20240501)
 FACTORS = _draw.integers(0, 2**63, FUNCTIONS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -111,10 +110,6 @@ def scored(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, share double")
 
 
-def near(df: DataFrame, n: int) -> DataFrame:
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df
-
-
 def confirmed(pairs: DataFrame, docs: DataFrame, member: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach percent. member: doc_id and cls of each row."""
     involved = staged(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "involved")

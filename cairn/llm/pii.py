@@ -167,12 +167,15 @@ def redacted(docs: DataFrame, **limits) -> DataFrame:
     one = one.withColumn("island", F.sum(F.when(F.col("start") < reach, 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     merged = one.groupBy("doc_id", "h", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("kind", F.struct("start", "rank")).alias("kind"))
     cut = F.sort_array(F.collect_list(F.struct("start", "end", "kind")))
-    cuts = merged.groupBy("doc_id", "h").agg(cut.alias("_cuts")).select(F.col("doc_id").alias("_doc"), F.col("h").alias("_h"), "_cuts")
+    cuts = merged.groupBy("doc_id", "h").agg(cut.alias("__cairn_cuts")).select(F.col("doc_id").alias("__cairn_doc"), F.col("h").alias("__cairn_h"), "__cairn_cuts")
     text = F.coalesce(F.col("text"), F.lit(""))
-    joined = docs.withColumn("_key", F.xxhash64(text)).join(cuts, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_h")), "left")
-    starts = F.concat(F.array(F.lit(0).cast("long")), F.transform("_cuts", lambda c: c["end"]))
-    parts = F.zip_with(starts, F.col("_cuts"), lambda at, c: F.concat(F.substr(F.col("text"), (at + 1).cast("int"), F.coalesce((c["start"] - at).cast("int"), F.length("text"))), F.coalesce(F.concat(F.lit("<"), F.upper(c["kind"]), F.lit(">")), F.lit(""))))
-    return joined.withColumn("text", F.when(F.col("_cuts").isNotNull(), F.array_join(parts, "")).otherwise(F.col("text"))).select(*docs.columns)
+    joined = docs.withColumn("__cairn_key", F.xxhash64(text)).join(cuts, F.col("doc_id").eqNullSafe(F.col("__cairn_doc")) & (F.col("__cairn_key") == F.col("__cairn_h")), "left")
+    starts = F.concat(F.array(F.lit(0).cast("long")), F.transform("__cairn_cuts", lambda c: c["end"]))
+    parts = F.zip_with(starts, F.col("__cairn_cuts"), lambda at, c: F.concat(F.substr(F.col("text"), (at + 1).cast("int"), F.coalesce((c["start"] - at).cast("int"), F.length("text"))), F.coalesce(F.concat(F.lit("<"), F.upper(c["kind"]), F.lit(">")), F.lit(""))))
+    joined = joined.withColumn("text", F.when(F.col("__cairn_cuts").isNotNull(), F.array_join(parts, "")).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        joined = joined.withColumn("n_chars", F.when(F.col("__cairn_cuts").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return joined.select(*[joined[c] for c in docs.columns])
 
 
 def op6_pii(spark, sf_dir: str) -> DataFrame:

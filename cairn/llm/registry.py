@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import fingerprint, langid, neardup, packing, pieces, pii, quality, tokencount, urlfilter
+from . import fingerprint, langid, lmscore, neardup, packing, pieces, pii, quality, tokencount, urlfilter
 
-MODULES = (tokencount, packing, urlfilter, neardup, quality, pii, pieces, langid, fingerprint)
+MODULES = (lmscore, tokencount, packing, urlfilter, neardup, quality, pii, pieces, langid, fingerprint)
 
 
 def queries() -> dict:
