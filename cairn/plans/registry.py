@@ -2,13 +2,35 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+
+from .bindings import Tables, with_bindings
+
+QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
 
 
-def queries() -> dict:
+def query(name: str, sql: str | None = None) -> Callable:
+    """Registers a function of the bound tables under a name, with the SQL that gives the same rows."""
+
+    def put(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+        assert name not in QUERIES, name
+        QUERIES[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        if sql:
+            SQL[name] = with_bindings(sql)
+        return f
+
+    return put
+
+
+def queries() -> dict[str, Callable]:
+    from . import lookups, mutations, reports, streams  # noqa: F401  they register themselves
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(SQL)
