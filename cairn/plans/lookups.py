@@ -30,9 +30,9 @@ def _(t):
     return Query(t.narinfos).where(F.col("hash") == F.md5(F.lit("i5"))).select("id", "hash", "url")
 
 
-@query("q_composite_lookup", "SELECT id, file_size FROM nar_files WHERE hash = md5('f7') AND compression = 'zstd' AND query = ''")
+@query("q_composite_lookup", "SELECT id, file_size FROM nar_files WHERE hash IN (md5('f7'), md5('f8'), md5('f9')) AND compression <> 'none' AND query = ''")
 def _(t):
-    return Query(t.nar_files).where(F.col("hash") == F.md5(F.lit("f7")), F.col("compression") == "zstd", F.col("query") == "").select("id", "file_size")
+    return Query(t.nar_files).where(F.col("hash").isin(*[F.md5(F.lit(x)) for x in ("f7", "f8", "f9")]), F.col("compression") != "none", F.col("query") == "").select("id", "file_size")
 
 
 @query("q_membership", "SELECT id, hash FROM chunks WHERE hash IN (SELECT hash FROM rows WHERE chunk_index = 0)")
@@ -134,7 +134,7 @@ def _(t):
 @query("q_or_join", "SELECT id FROM nar_files WHERE id IN (SELECT nar_file_id FROM narinfo_nar_files WHERE narinfo_id % 500 = 1) OR id IN (SELECT id FROM nar_files WHERE hash IN (md5('f3'), md5('f4')))")
 def _(t):
     linked = t.narinfo_nar_files.where("narinfo_id % 500 = 1").select(F.col("nar_file_id").alias("id"))
-    named = t.nar_files.where(F.col("hash").isin("", *[]) | (F.col("hash") == F.md5(F.lit("f3"))) | (F.col("hash") == F.md5(F.lit("f4")))).select("id")
+    named = t.nar_files.where((F.col("hash") == F.md5(F.lit("f3"))) | (F.col("hash") == F.md5(F.lit("f4")))).select("id")
     return dml.or_join(t.nar_files, "id", linked, named).select("id")
 
 
@@ -236,10 +236,10 @@ def _(t):
     return integrity.reverified(suspects, t.doc_files.where("id % 3 <> 0"), ["id"]).select("id")
 
 
-@query("q_newly_orphaned", "SELECT id FROM nar_files WHERE id NOT IN (SELECT nar_file_id FROM narinfo_nar_files WHERE narinfo_id % 3 <> 0) EXCEPT SELECT id FROM nar_files WHERE id NOT IN (SELECT nar_file_id FROM narinfo_nar_files)")
+@query("q_newly_orphaned", "SELECT id FROM nar_files WHERE id NOT IN (SELECT nar_file_id FROM narinfo_nar_files WHERE narinfo_id % 40 = 0) EXCEPT SELECT id FROM nar_files WHERE id NOT IN (SELECT nar_file_id FROM narinfo_nar_files)")
 def _(t):
     before = integrity.unlinked_files(t.nar_files, t.narinfo_nar_files).select("id")
-    after = integrity.unlinked_files(t.nar_files, t.narinfo_nar_files.where("narinfo_id % 3 <> 0")).select("id")
+    after = integrity.unlinked_files(t.nar_files, t.narinfo_nar_files.where("narinfo_id % 40 = 0")).select("id")
     return after.join(before, "id", "left_anti")
 
 

@@ -302,9 +302,9 @@ def _(t):
     return recovery.probed(t.nar_files, t.narinfo_nar_files.where("narinfo_id % 40 = 0"), t.probes)
 
 
-@query("q_purge_files", "SELECT nar_file_id FROM narinfo_nar_files WHERE narinfo_id % 40 < 20 GROUP BY nar_file_id HAVING count(*) = count(*) FILTER (WHERE narinfo_id % 4 = 0)")
+@query("q_purge_files", "SELECT nar_file_id FROM narinfo_nar_files WHERE narinfo_id % 100 < 3 GROUP BY nar_file_id HAVING count(*) = count(*) FILTER (WHERE narinfo_id % 2 = 0)")
 def _(t):
-    return recovery.narinfo_purge(t.narinfo_nar_files.where("narinfo_id % 40 < 20"), t.narinfos.where("id % 4 = 0"))
+    return recovery.narinfo_purge(t.narinfo_nar_files.where("narinfo_id % 100 < 3"), t.narinfos.where("id % 2 = 0"))
 
 
 @query("q_staging_gc", """SELECT hash, status FROM staging_states WHERE CASE WHEN status = 'complete' THEN coalesce(updated_at, created_at) < TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 2 DAY

@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 
 
 def _struct(fields: str) -> T.StructType:
-    return T.StructType.fromDDL(fields)
+    kinds = {"string": T.StringType(), "bigint": T.LongType(), "timestamp_ntz": T.TimestampNTZType()}
+    return T.StructType([T.StructField(name, kinds[kind]) for name, kind in map(str.split, fields.split(","))])
 
 
 _TIMES = "created_at timestamp_ntz, updated_at timestamp_ntz"
