@@ -110,8 +110,9 @@ class Lattice:
             part = text[start - lead : start + step]
             codes = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
             prefix = np.zeros(len(codes) + 1, np.uint64)
-            for i, c in enumerate(codes):
-                prefix[i + 1] = prefix[i] * BASE + c + np.uint64(1)
+            h = 0
+            for i, c in enumerate(codes.tolist()):
+                prefix[i + 1] = h = (h * int(BASE) + c + 1) & (1 << 64) - 1
             found = [self.find(prefix[k:] - prefix[:-k] * self.power[k]) for k in range(1, min(self.longest, len(codes)) + 1)]
             found[0] = np.where(found[0] < 0, self.unknown, found[0])
             for end in range(lead + 1, len(part) + 1):

@@ -9,12 +9,13 @@ bounds whatever the number of documents: a plan says which ranks of each length
 rank among its length, counted in buckets of doc_id so that no length lies in one task, and its bin from the plan.
 
 A document's length is its word-piece count and one end token, so null and empty texts are packed as well, with length 1.
-Ties among equal lengths go by bucket, doc_id and piece. Repeated rows are each packed. An empty table makes no bins. Extra
+Bins of equal room are taken in the order they were opened in; ties among equal lengths go by bucket, doc_id and piece. Repeated rows are each packed. An empty table makes no bins. Extra
 columns are not read.
 """
 
 from __future__ import annotations
 
+import heapq
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Callable, Iterator
 
@@ -62,7 +63,7 @@ class Plan:
         if room not in self.open:
             self.open[room] = []
             insort(self.rooms, room)
-        self.open[room].append(bins)
+        heapq.heappush(self.open[room], bins)
 
     def place(self, length: int, n: int) -> None:
         rank, size = 0, None
@@ -75,16 +76,18 @@ class Plan:
                 self.put(size, (self.n_bins, count, 0))
                 self.n_bins += count
                 continue
+            # each bin in turn takes all that fits: what is left of it stays the least room
             room = self.rooms[k]
-            first, count, filled = self.open[room].pop()
+            first, count, filled = heapq.heappop(self.open[room])
             if not self.open[room]:
                 del self.open[room], self.rooms[k]
-            taken = min(n, count)
+            each = min(room // length, n)
+            taken = min(n // each, count)
             if taken < count:
                 self.put(room, (first + taken, count - taken, filled))
-            self.placements.append((length, rank, taken, first, filled))
-            self.put(room - length, (first, taken, filled + length))
-            rank, n = rank + taken, n - taken
+            self.placements += [(length, rank + j * taken, taken, first, filled + j * length) for j in range(each)]
+            self.put(room - each * length, (first, taken, filled + each * length))
+            rank, n = rank + each * taken, n - each * taken
 
     def cheapest(self, length: int, n: int) -> int:
         """The size to open for a length of which n are left: least cost a token when filled greedily with what is left."""
