@@ -34,7 +34,7 @@ shipped(__name__)
 SHINGLE, FUNCTIONS, ROWS, BANDS = 5, 64, 5, 25
 #: Pairs whose 128 values agree in a smaller share than threshold - MARGIN are not confirmed (over five standard deviations).
 MARGIN = 0.15
-BLOCK = 256
+BLOCK = 1024
 _draw = np.random.default_rng(20240501)
 FACTORS = _draw.integers(0, 2**63, FUNCTIONS, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -110,10 +110,10 @@ def scored(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, share double")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, member: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach percent. member: doc_id and cls of each row."""
-    involved = staged(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "involved")
-    chosen = staged(member.join(near(involved, n := involved.count()), "cls", "left_semi").groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id"))["doc_id"].alias("doc_id")), "chosen")
+def full_sets(involved: DataFrame, docs: DataFrame, member: DataFrame) -> DataFrame:
+    """cls and set (the sorted hashes) of the classes in involved, a staged table; staged. member: doc_id and cls of each row."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id"))["doc_id"]
+    chosen = staged(member.join(near(involved, n := involved.count()), "cls", "left_semi").groupBy("cls").agg(first.alias("doc_id")), "chosen")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
@@ -125,82 +125,126 @@ def confirmed(pairs: DataFrame, docs: DataFrame, member: DataFrame, percent: int
     ids = chosen.select(F.col("doc_id").alias("_id"))
     texts = docs.select("doc_id", "text").join(near(ids, n), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     found = texts.mapInArrow(sets, "cls long, set binary").join(near(involved, n), "cls", "left_semi")
-    full = staged(found.dropDuplicates(["cls"]), "sets")
+    out = staged(found.dropDuplicates(["cls"]), "sets")
+    dropped(chosen)
+    return out
+
+
+def reaches(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = np.sort(np.concatenate([x, y]))
+    shared = int((both[1:] == both[:-1]).sum())
+    return 100 * shared >= percent * (len(both) - shared)
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, member: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets reach percent."""
+    involved = staged(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "involved")
+    full = full_sets(involved, docs, member)
     side = lambda c: full.select(F.col("cls").alias(c), F.col("set").alias(f"s{c}"))
     both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("sa"), batch.column("sb")):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both_ = np.sort(np.concatenate([p, q]))
-                common_ = int((both_[1:] == both_[:-1]).sum())
-                keep.append(100 * common_ >= percent * (len(both_) - common_))
-            keep = pa.array(keep, pa.bool_())
+            keep = pa.array([reaches(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in zip(batch.column("sa"), batch.column("sb"))], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
     out = staged(both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long"), "links")
-    for x in (involved, chosen, full):
+    for x in (involved, full):
         dropped(x)
     return out
 
 
-def across(members: DataFrame, component: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that share a bucket and may reach percent. members: key, cls, c (the bucket's size);
-    component: node, component. Large buckets are compared block against block, in as many tasks."""
+def across(members: DataFrame, component: DataFrame, classes: DataFrame, docs: DataFrame, of_row: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components that share a bucket. members: key, cls, c (the bucket's size); component: node, component.
+
+    Large buckets are compared block against block, in as many tasks. A first pass finds, by the 128 values, the classes with a
+    possible partner at all; a second compares these on their full sets where they lie. What leaves a task is at most one row
+    for each class in it: a link only where the two are not yet connected there. A pair is compared in the first band that
+    it shares and in no other."""
     known = component.select(F.col("node").alias("cls"), "component")
     m = members.join(known, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     several = m.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    m = m.join(several, "key", "left_semi").join(classes.select("cls", "n_shingles", "sketch"), "cls")
+    m = staged(m.join(several, "key", "left_semi").select("key", "cls", "c", "component"), "mixed")
+    values = classes.select("cls", "n_shingles", "sketch", "keys")
+    possible = staged(_dealt(m.join(values, "cls"), []).mapInArrow(_compared(percent, exact=False), "cls long").distinct(), "possible")
+    full = full_sets(possible, docs, of_row)
+    out = staged(_dealt(m.join(values, "cls").join(full, "cls"), ["set"]).mapInArrow(_compared(percent, exact=True), "a long, b long").distinct(), "across")
+    for x in (m, possible, full):
+        dropped(x)
+    return out
+
+
+GROUPED = ["key", "i", "j", "block", "cls", "component", "n_shingles", "sketch", "keys"]
+
+
+def _dealt(m: DataFrame, more: list[str]) -> DataFrame:
+    """Members of buckets by pairs of blocks (i, j), those of one pair together and in order."""
     blocks = F.ceil(F.col("c") / BLOCK)
     m = m.withColumn("block", F.pmod(F.xxhash64("cls"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     m = m.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    dealt = m.select("key", "i", "j", "block", "cls", "component", "n_shingles", "sketch").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "cls")
+    return m.select(*GROUPED, *more).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "cls")
+
+
+def _compared(percent: int, exact: bool):
+    """For mapInArrow over _dealt(): the classes with a possible partner of another component, or the links that hold."""
 
-    def compared(rows: list[tuple]) -> list[tuple[int, int]]:
-        block, cls, comp, n = (np.array([r[k] for r in rows], np.int64) for k in (0, 1, 2, 3))
+    def candidates(rows: list[tuple], key: int) -> Iterator[tuple[int, np.ndarray]]:
+        block, cls, comp, n = (np.array([r[k] for r in rows], np.int64) for k in range(4))
         x = np.frombuffer(b"".join([r[4] for r in rows]), "<u2").reshape(len(rows), -1)
-        out = []
+        keys = np.array([r[5] for r in rows], np.int64)
         same = block.min() == block.max()
         for k in range(len(rows) - 1 if same else len(rows)):
             rest = np.arange(k + 1, len(rows)) if same else np.flatnonzero(block > block[k])
             rest = rest[(comp[rest] != comp[k]) & (np.minimum(n[rest], n[k]) * 100 >= np.maximum(n[rest], n[k]) * percent)]
             if len(rest):
                 rest = rest[(x[rest] == x[k]).mean(1) >= percent / 100 - MARGIN]
-                out += [(min(int(cls[k]), b), max(int(cls[k]), b)) for b in cls[rest].tolist()]
-        return out
+            if len(rest):
+                rest = rest[keys[k][(keys[rest] == keys[k]).argmax(1)] == key]
+            if len(rest):
+                yield k, rest
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()  # only spares repeats; the bound just empties it
-        held, key, out = [], None, []
+    def partners(rows: list[tuple], key: int) -> list[tuple]:
+        return [(c,) for c in {rows[r][1] for k, rest in candidates(rows, key) for r in (k, *rest.tolist())}]
+
+    def links(rows: list[tuple], key: int) -> list[tuple]:
+        top = {r[2]: r[2] for r in rows}
 
-        def flush():
-            if len(held) > 1:
-                new = [p for p in compared(held) if p not in seen]
-                seen.update(new)
-                out.extend(new)
-                if len(seen) > 200_000:
-                    seen.clear()
+        def root(c: int) -> int:
+            while top[c] != c:
+                top[c] = c = top[top[c]]
+            return c
 
-        def made():
-            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        out = []
+        for k, rest in candidates(rows, key):
+            mine = np.frombuffer(rows[k][6], np.uint64)
+            for r in rest.tolist():
+                p, q = root(rows[k][2]), root(rows[r][2])
+                if p != q and reaches(mine, np.frombuffer(rows[r][6], np.uint64), percent):
+                    top[p] = q
+                    out.append((rows[k][1], rows[r][1]))
+        return out
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, found = (["a", "b"], links) if exact else (["cls"], partners)
+        held, group, out = [], None, []
+        made = lambda: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=names)
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("key", "i", "j", "block", "cls", "component", "n_shingles", "sketch")]
-            for row in zip(*columns):
-                if row[:3] != key:
-                    flush()
-                    held, key = [], row[:3]
-                held.append(row[3:])
-            if len(out) >= 5000:
-                yield made()
-                out = []
-        flush()
+            for at in range(0, batch.num_rows, 500):
+                for row in zip(*(c.to_pylist() for c in batch.slice(at, 500).columns)):
+                    if row[:3] != group:
+                        if len(held) > 1:
+                            out += found(held, group[0])
+                        held, group = [], row[:3]
+                    held.append(row[3:])
+                if len(out) >= 5000:
+                    yield made()
+                    out = []
+        if len(held) > 1:
+            out += found(held, group[0])
         if out:
             yield made()
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return run
 
 
 def classes_linked(docs: DataFrame, percent: int = 85) -> tuple[DataFrame, DataFrame]:
@@ -218,9 +262,9 @@ def classes_linked(docs: DataFrame, percent: int = 85) -> tuple[DataFrame, DataF
     first = staged(scored(star, classes, percent), "star")
     links = confirmed(first, docs, of_row, percent)
     found = staged(components(links), "components")
-    more = staged(across(members, found, classes, percent).join(first.select("a", "b"), ["a", "b"], "left_anti"), "across")
+    more = across(members, found, classes, docs, of_row, percent)
     if not more.isEmpty():
-        found = staged(components(links.unionByName(confirmed(more, docs, of_row, percent))), "components")
+        found = staged(components(links.unionByName(more)), "components")
     out = staged(signed.select("doc_id", "n_shingles", "cls"), "rows")
     for x in (signed, classes, buckets, members, first, more):
         dropped(x)
