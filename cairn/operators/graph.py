@@ -11,16 +11,20 @@ from pyspark.sql import functions as F
 from . import dml
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """df as Parquet in the folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    spark = df.sparkSession
+def shared_folder(spark) -> str:
+    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cairn-"))
         folder = spark.sparkContext.getCheckpointDir()
-    path = f"{folder}/cairn-{what}-{uuid.uuid4().hex}"
+    return folder
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    """df as Parquet in the shared folder, read again: its lineage ends there."""
+    path = f"{shared_folder(df.sparkSession)}/cairn-{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def closure(roots: DataFrame, edges: DataFrame, most_levels: int = 1000) -> DataFrame:

@@ -6,22 +6,18 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators.graph import shared_folder
 from ..streaming import stateful
 from .registry import query
 
 
 def _ran(t, stream, name, mode="update"):
-    from ..operators.graph import written
-
-    spark = t._spark
-    folder = written(spark.range(1).toDF("n"), "stream").inputFiles()[0].rsplit("/", 1)[0]
     name = f"{name}_{uuid.uuid4().hex}"
-    return stateful.run_once(stream, name, mode, f"{folder}-checkpoint")
+    return stateful.run_once(stream, name, mode, f"{shared_folder(t._spark)}/cairn-{name}")
 
 
 def _events(t):
-    folder = f"{t._dir}"
-    return t._spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+    return t._spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet").parquet(t._dir)
 
 
 @query("s_touch_stream", """WITH RECURSIVE log AS (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
