@@ -128,7 +128,7 @@ def _distance(center: str = "center", precision: str = "precision"):
 ESTIMATE = "g string, n long, center array<double>, precision array<double>"
 
 
-def _concentrated(share: float, last: bool):
+def _concentrated(share: float):
     """Of one group's bins in order of distance: the estimate over the nearest share of its rows."""
     least = np.array(list(STATISTICS.values())) ** 2
     factor = share / chi2_cdf(chi2_quantile(share, P), P + 2)
@@ -159,11 +159,11 @@ def estimates(rows: DataFrame, share: float = 0.75, steps: int = 5, most_broadca
     least = list(STATISTICS.values())
     weights = [F.lit(1.0) / (F.pow(F.col(f"d{X[i]}") * 1.4826, 2) + least[i] ** 2) if i == j else F.lit(0.0) for i in range(P) for j in range(P)]
     now = medians.join(apart, "g").select("g", "n", F.array(*[F.col(f"m{x}") for x in X]).alias("center"), F.array(*weights).alias("precision"))
-    for k in range(steps):
+    for _ in range(steps):
         now = common.staged(now, "estimate")
         binned = rows.join(near(now.drop("n")), "g").withColumn("bin", F.floor(F.log(_distance() + 1e-6) * BINS))
         sums = binned.groupBy("g", "bin").agg(F.count(F.lit(1)).alias("n"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(X)], *[F.sum(F.col(X[i]) * F.col(X[j])).alias(f"p{i}_{j}") for i in range(P) for j in range(i, P)])
-        now = sums.groupBy("g").applyInPandas(_concentrated(share, k + 1 == steps), ESTIMATE)
+        now = sums.groupBy("g").applyInPandas(_concentrated(share), ESTIMATE)
     return common.staged(now, "estimate")
 
 
