@@ -5,8 +5,8 @@ over all ways to cut it into pieces, of the product of the pieces' probabilities
 product over its words. The probabilities come from a few rounds of expected piece counts (forward and backward) over the
 words of labelled training rows, smoothed with the counts of all languages together.
 
-Training rows: at most rows_per_language of each language, chosen by a hash of doc_id (a documented bound; every text is
-taken whole). Words are runs of letters, in lower case. A null text, or one without a letter, is "und" with score 0; with
+Training rows: rows_per_language of each language in expectation, or all if there are fewer, chosen by a hash of the row (a
+documented bound; every text is taken whole). Words are runs of letters, in lower case. A null text, or one without a letter, is "und" with score 0; with
 nothing to learn from, every text is. Ties go to the language first in code-point order. Repeated rows get equal verdicts;
 extra columns are not read, and lang, source and doc_id do not enter a prediction.
 """
@@ -181,7 +181,7 @@ def learned(docs: DataFrame, model_path: str | None = None, rows_per_language: i
     if not langs:
         return [], np.zeros((len(names) + 1, 0))
     share = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, rows_per_language / sizes[k]))])
-    chosen = docs.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("langid")), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
+    chosen = docs.where(F.pmod(F.xxhash64("doc_id", "text", F.lit("langid")), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
     counts = common.staged(chosen.mapInArrow(_counted, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "langid")
     number = {k: i for i, k in enumerate(langs)}
     p = np.full((len(names) + 1, len(langs)), 1.0 / len(names))
@@ -254,5 +254,5 @@ def identified(docs: DataFrame, langs: list[str], p: np.ndarray, model_path: str
 def op9_language_id(spark, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     langs, p = learned(docs.where(remainder("doc_id", 5) != 0))
-    held = (remainder("doc_id", 5) == 0).alias("held_out")
+    held = F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out")
     return identified(docs, langs, p).select("doc_id", held, "lang_pred", "score")

@@ -113,7 +113,8 @@ def grouped(stats: DataFrame, least_rows: int) -> DataFrame:
         F.col("_l").alias("_gl"), F.col("_s").alias("_gs"),
         F.when(F.col("n") >= least_rows, F.concat_ws("\1", "_l", "_s")).when(F.col("pooled") >= least_rows, F.col("_l")).otherwise("").alias("g"),
     )
-    return keyed.join(levels, (F.col("_l") == F.col("_gl")) & (F.col("_s") == F.col("_gs"))).drop("_l", "_s", "_gl", "_gs")
+    levels = common.staged(levels, "groups")
+    return keyed.join(common.near(levels, levels.count()), (F.col("_l") == F.col("_gl")) & (F.col("_s") == F.col("_gs"))).drop("_l", "_s", "_gl", "_gs")
 
 
 def _distance(center: str = "center", precision: str = "precision"):
