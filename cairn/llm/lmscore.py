@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,7 +38,7 @@ shipped(__name__)
 
 END, START = (np.uint64(xxhash.xxh3_64_intdigest(b" end")), np.uint64(xxhash.xxh3_64_intdigest(b" start")))
 QUANTUM, TOP = 1.5, 64
-BITS_PER_ENTRY, PROBE_BITS = 10, 4
+BITS_PER_ENTRY, PROBE_BITS = 8, 4
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 #: Least count of each level, and the count that it stands for.
 LEAST = np.array([QUANTUM**j for j in range(TOP)])
@@ -156,14 +157,14 @@ def scores(texts: list[bytes | None], words: WordHashes, model, totals: dict, hi
 
 def in_chunks(batch: pa.RecordBatch, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of a batch of at most so many bytes of text, or of one row."""
-    texts = texts_of(batch)
+    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()
     start = size = 0
-    for k, x in enumerate(texts):
-        if k > start and size + len(x or b"") > most:
+    for k, n in enumerate(sizes):
+        if k > start and size + n > most:
             yield batch.slice(start, k - start)
             start, size = k, 0
-        size += len(x or b"")
-    if len(texts) > start:
+        size += n
+    if len(sizes) > start:
         yield batch.slice(start)
 
 
@@ -189,12 +190,13 @@ def counted(training: DataFrame, bits: int, chunk: int = 1_000_000) -> DataFrame
 
         size = 0
         for batch in batches:
-            for x in texts_of(batch):
-                held.append(tokens(x, words))
-                size += len(held[-1])
-                if size >= chunk:
-                    yield out(held)
-                    held, size = [], 0
+            for part in in_chunks(batch):
+                for x in texts_of(part):
+                    held.append(tokens(x, words))
+                    size += len(held[-1])
+                    if size >= chunk:
+                        yield out(held)
+                        held, size = [], 0
         if held:
             yield out(held)
 
@@ -237,24 +239,27 @@ def trained(training: DataFrame, tokens_per_shard: int = 1_500_000) -> tuple[Dat
     size = training.agg(F.count(F.lit(1)).alias("texts"), F.sum(F.octet_length("text")).alias("bytes")).first()
     bits = max(0, math.ceil(math.log2(max(1, (size["bytes"] or 0) / 6 / tokens_per_shard))))
     model = staged(shards(counted(training, bits), bits), "lm")
-    totals = model.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "types", "pairs", "once")], F.coalesce(F.sum(F.length("filter") + F.length("words") + F.length("word_counts")), F.lit(0)).alias("bytes")).first()
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    sums = [total(c).alias(c) for c in ("tokens", "types", "pairs", "once")] + [total(F.length("filter")).alias("filter")]
+    totals = model.agg(*sums, total(F.length("filter") + F.length("words") + F.length("word_counts")).alias("bytes")).first()
     return model, totals.asDict() | {"texts": size["texts"], "bits": bits}
 
 
 def gathered(model: DataFrame, totals: dict) -> Counts:
-    """All shards as one model; only called for a model of a checked size."""
+    """All shards as one model; only called for a model of a checked size. A shard at a time is copied into its place."""
     n = 1 << totals["bits"]
     base, size = np.zeros(n, np.int64), np.ones(n, np.uint64)
-    bits, words, counts, at = [np.zeros(1, np.uint64)], [], [], 1  # shards that hold nothing share an empty word
-    for r in model.orderBy("shard").select("shard", "filter", "words", "word_counts").toLocalIterator():
-        part = np.frombuffer(r["filter"], np.uint64)
+    bits = np.zeros(1 + totals["filter"] // 8, np.uint64)  # shards that hold nothing share the first word, which is empty
+    words, counts = np.empty(totals["types"], np.uint64), np.empty(totals["types"], np.uint32 if totals["tokens"] < 1 << 32 else np.int64)
+    at, first = 1, 0
+    for r in model.select("shard", "filter", "words", "word_counts").orderBy("shard").toLocalIterator():
+        part, w = np.frombuffer(r["filter"], np.uint64), np.frombuffer(r["words"], np.uint64)
         base[r["shard"]], size[r["shard"]] = at, len(part)
-        at += len(part)
-        bits.append(part)
-        words.append(np.frombuffer(r["words"], np.uint64))
-        counts.append(np.frombuffer(r["word_counts"], np.int64).astype(np.uint32 if totals["tokens"] < 1 << 32 else np.int64))
-    join = lambda x, t: np.concatenate(x) if x else np.empty(0, t)
-    return Counts(join(bits, np.uint64), base, size, 64 - totals["bits"], join(words, np.uint64), join(counts, np.int64))
+        bits[at : at + len(part)] = part
+        words[first : first + len(w)] = w
+        counts[first : first + len(w)] = np.frombuffer(r["word_counts"], np.int64)
+        at, first = at + len(part), first + len(w)
+    return Counts(bits, base, size, 64 - totals["bits"], words, counts)
 
 
 FIELDS = (("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()))
@@ -274,7 +279,7 @@ def scored(docs: DataFrame, model: DataFrame, totals: dict, history_prior: float
     sent = docs.sparkSession.sparkContext.broadcast(gathered(model, totals))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, counts = WordHashes(), sent.value
+        words, counts = WordHashes(100_000), sent.value
         for batch in batches:
             for part in in_chunks(batch):
                 yield _rows(part, scores(texts_of(part), words, counts, totals, history_prior))
