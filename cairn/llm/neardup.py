@@ -7,7 +7,8 @@ five values make buckets. Equal sets are one class from the start, so copies nev
 Links are confirmed on the full sets. In each bucket one class is the pivot and all others are compared with it; what is then
 in one component needs no further comparison. Where a bucket still holds several components, its members are compared across
 them, block by block, by their 128 values, and pairs that may reach the threshold are confirmed in the same way. No cap is
-set on buckets or partners. With 25 bands of five, a pair at similarity 0.85 is missed with a chance of 4e-7 and lower above.
+set on buckets or partners. With 25 bands of five, a pair at similarity 0.85 shares no bucket with a chance of 4e-7. Thresholds
+below 0.85 take 32 bands of four and a wider margin before the full sets: at 0.8 the chances are 5e-8 and 8e-8.
 
 Classes are 64-bit hashes of the sets. Null and empty texts and texts without words have an empty set and link to nothing.
 Fewer than five words: the whole sequence is the one shingle. Repeated rows belong to one class and are each returned; rows
@@ -31,14 +32,17 @@ from .components import components
 
 shipped(__name__)
 
-SHINGLE, FUNCTIONS, ROWS, BANDS = 5, 64, 5, 25
-#: Pairs whose 128 values agree in a smaller share than threshold - MARGIN are not confirmed (over five standard deviations).
-MARGIN = 0.15
+SHINGLE, FUNCTIONS = 5, 64
 BLOCK = 1024
 _draw = np.random.default_rng(20240501)
 FACTORS = _draw.integers(0, 2**63, FUNCTIONS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def banded(percent: int) -> tuple[int, int, float]:
+    """Values a band, bands, and the margin: pairs whose 128 values agree in a share below percent / 100 - margin are not confirmed."""
+    return (5, 25, 0.15) if percent >= 85 else (4, 32, 0.2)
+
+
 def shingle_set(text: bytes | None, words: WordHashes) -> np.ndarray:
     """The sorted distinct 64-bit hashes of a text's shingles."""
     w = (text or b"").lower().split()
@@ -64,18 +68,19 @@ def min_max(s: np.ndarray) -> np.ndarray:
     return np.concatenate([low, high])
 
 
-def signature(s: np.ndarray) -> tuple[list[int], bytes]:
+def signature(s: np.ndarray, percent: int) -> tuple[list[int], bytes]:
     """Bucket keys, one a band, and 16 bits of each value."""
+    rows, bands, _ = banded(percent)
     values = mixed(min_max(s))
     # a band takes values of different functions, lows and highs in turn
-    order = (np.arange(ROWS * BANDS) * 67) % (2 * FUNCTIONS)
-    key = np.arange(BANDS, dtype=np.uint64)
-    for r in range(ROWS):
-        key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + values[order[r * BANDS : (r + 1) * BANDS]])
+    order = (np.arange(rows * bands) * 67) % (2 * FUNCTIONS)
+    key = np.arange(bands, dtype=np.uint64)
+    for r in range(rows):
+        key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + values[order[r * bands : (r + 1) * bands]])
     return key.astype(np.int64).tolist(), (values >> np.uint64(48)).astype("<u2").tobytes()
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, percent: int) -> DataFrame:
     """doc_id, n_shingles, cls (0: empty set), keys and sketch of each row."""
 
     def make():
@@ -85,7 +90,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             out = []
             for x in texts:
                 s = shingle_set(x, words)
-                out.append((len(s), class_of(s), *(signature(s) if len(s) else ([], b""))))
+                out.append((len(s), class_of(s), *(signature(s, percent) if len(s) else ([], b""))))
             return out
 
         return of
@@ -99,12 +104,14 @@ def scored(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     both = both.where((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent))
 
+    least = percent / 100 - banded(percent)[2]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, 2 * FUNCTIONS) for c in ("sa", "sb"))
                 share = (x == y).mean(1)
-                keep = pa.array(share >= percent / 100 - MARGIN)
+                keep = pa.array(share >= least)
                 yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep), pa.array(share).filter(keep)], names=["a", "b", "share"])
 
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, share double")
@@ -187,6 +194,7 @@ def _dealt(m: DataFrame, more: list[str]) -> DataFrame:
 
 def _compared(percent: int, exact: bool):
     """For mapInArrow over _dealt(): the classes with a possible partner of another component, or the links that hold."""
+    least = percent / 100 - banded(percent)[2]
 
     def candidates(rows: list[tuple], key: int) -> Iterator[tuple[int, np.ndarray]]:
         block, cls, comp, n = (np.array([r[k] for r in rows], np.int64) for k in range(4))
@@ -197,7 +205,7 @@ def _compared(percent: int, exact: bool):
             rest = np.arange(k + 1, len(rows)) if same else np.flatnonzero(block > block[k])
             rest = rest[(comp[rest] != comp[k]) & (np.minimum(n[rest], n[k]) * 100 >= np.maximum(n[rest], n[k]) * percent)]
             if len(rest):
-                rest = rest[(x[rest] == x[k]).mean(1) >= percent / 100 - MARGIN]
+                rest = rest[(x[rest] == x[k]).mean(1) >= least]
             if len(rest):
                 rest = rest[keys[k][(keys[rest] == keys[k]).argmax(1)] == key]
             if len(rest):
@@ -250,7 +258,7 @@ def _compared(percent: int, exact: bool):
 def classes_linked(docs: DataFrame, percent: int = 85) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_shingles, cls of each row; node, component of each class with links), both staged."""
     docs = docs.select("doc_id", "text")
-    signed = staged(signatures(docs), "signatures")
+    signed = staged(signatures(docs, percent), "signatures")
     full = signed.where("n_shingles > 0")
     classes = staged(full.groupBy("cls").agg(*[F.first(c).alias(c) for c in ("n_shingles", "keys", "sketch")]), "classes")
     rows = classes.select("cls", F.explode("keys").alias("key"))

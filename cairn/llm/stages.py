@@ -38,10 +38,11 @@ def quality_rules(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     return without(docs, key, staged(verdicts.where("not kept").select("doc_id").distinct(), "rejected"))
 
 
-def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group, and of equal rows one."""
+def near_duplicates(spark, docs: DataFrame, sf_dir: str, percent: int = 85) -> DataFrame:
+    """Keeps the document with the smallest doc_id of each group, and of equal rows one. percent: the least similarity of a
+    link; 85 is op4's, the pipeline has its own."""
     key = F.xxhash64("doc_id", "text")
-    judged = neardup.deduplicated(docs.select(F.struct("doc_id", key.alias("key")).alias("doc_id"), "text"))
+    judged = neardup.deduplicated(docs.select(F.struct("doc_id", key.alias("key")).alias("doc_id"), "text"), percent)
     judged = staged(judged.groupBy(F.col("doc_id.key").alias("key"), "kept").agg(F.count(F.lit(1)).alias("n")), "judged")
     left = without(docs, key, judged.where("not kept").select("key"))
     again = judged.where("kept and n > 1").select(F.col("key").alias("__cairn_again"))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from cairn.llm import stages
 from cairn.llm.common import staged, table
 
 STAGES = [
     ("language_id", stages.language),
     ("quality_rules", stages.quality_rules),
-    ("near_duplicates", stages.near_duplicates),
+    ("near_duplicates", partial(stages.near_duplicates, percent=80)),
     ("pii", stages.personal_data),
     ("packing", stages.packed),
 ]
