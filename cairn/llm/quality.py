@@ -10,8 +10,11 @@ statistics, and the nearest share is the first bins that hold it. No rows are so
 summed before the shuffle. Groups of fewer than least_rows are estimated together for their language, languages that are
 still small all together, and below that nothing is rejected by distance. Null lang or source is a value of its own.
 
-Null and empty texts have no words and fail the base rule, as do texts of fewer than 20 words. Repeated rows count each and
-get equal verdicts. An empty table gives an empty result. Extra columns are not read.
+Equal vectors count once in an estimate, so copies of one text cannot become a group's centre. A group of enough rows but
+fewer than least_rows distinct vectors is judged by the estimate over all its language, or with the small languages.
+
+Null and empty texts have no words and fail the base rule, as do texts of fewer than 20 words. Repeated rows are each judged
+and get equal verdicts. An empty table gives an empty result. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -104,19 +107,35 @@ def chi2_quantile(q: float, k: int) -> float:
 
 
 def grouped(stats: DataFrame, least_rows: int) -> DataFrame:
-    """stats with the group g: language and source, the language's small sources together, or all small languages' together."""
+    """stats with g, the group that judges a row: language and source, the language's small sources together, its language where
+    copies leave too few distinct vectors, or all small languages' together; and whole, the language's group that the row
+    counts in besides, or null."""
     lang, source = (F.coalesce(F.col(c), F.lit("\0")) for c in ("lang", "source"))
     keyed = stats.withColumn("_l", lang).withColumn("_s", source)
-    sizes = keyed.groupBy("_l", "_s").agg(F.count(F.lit(1)).alias("n"))
-    small = sizes.where(F.col("n") < least_rows).groupBy("_l").agg(F.sum("n").alias("pooled"))
-    levels = sizes.join(small, "_l", "left").select(
-        F.col("_l").alias("_gl"), F.col("_s").alias("_gs"),
-        F.when(F.col("n") >= least_rows, F.concat_ws("\1", "_l", "_s")).when(F.col("pooled") >= least_rows, F.col("_l")).otherwise("").alias("g"),
+    vectors = common.staged(keyed.groupBy("_l", "_s", F.xxhash64(*X).alias("v")).agg(F.count(F.lit(1)).alias("n")), "distinct")
+    sizes = vectors.groupBy("_l", "_s").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("d"))
+    few = common.staged(sizes.where(F.col("n") < least_rows).select("_l", "_s"), "small")
+    small = vectors.join(common.near(few, few.count()), ["_l", "_s"], "left_semi").groupBy("_l").agg(F.sum("n").alias("pooled"), F.countDistinct("v").alias("pooled_d"))
+    langs = vectors.groupBy("_l").agg(F.countDistinct("v").alias("lang_d"))
+    own, pool = F.col("n") >= least_rows, F.col("pooled") >= least_rows
+    by_lang = F.when(F.col("lang_d") >= least_rows, F.concat_ws("\1", "_l", F.lit(""), F.lit(""))).otherwise("")
+    levels = sizes.join(small, "_l", "left").join(langs, "_l").select(
+        F.col("_l").alias("_gl"), F.col("_s").alias("_gs"), by_lang.alias("whole"),
+        F.when(own & (F.col("d") >= least_rows), F.concat_ws("\1", "_l", "_s")).when(own, by_lang).when(pool & (F.col("pooled_d") >= least_rows), F.col("_l")).when(pool, by_lang).otherwise("").alias("g"),
     )
     levels = common.staged(levels, "groups")
+    asked = common.staged(levels.where("whole <> '' and g = whole").select("whole").distinct(), "whole")
+    levels = levels.drop("whole").join(levels.where("g <> whole").select("_gl", "_gs", "whole").join(common.near(asked, asked.count()), "whole", "left_semi"), ["_gl", "_gs"], "left")
+    levels = common.staged(levels, "levels")
     return keyed.join(common.near(levels, levels.count()), (F.col("_l") == F.col("_gl")) & (F.col("_s") == F.col("_gs"))).drop("_l", "_s", "_gl", "_gs")
 
 
+def distinct_vectors(rows: DataFrame) -> DataFrame:
+    """g and vector of each group's rows, equal ones once."""
+    counted = rows.select("g", *X).unionByName(rows.where("whole is not null").select(F.col("whole").alias("g"), *X))
+    return counted.distinct()
+
+
 def _distance(center: str = "center", precision: str = "precision"):
     d = [F.col(x) - F.get(center, F.lit(i)) for i, x in enumerate(X)]
     total = F.lit(0.0)
@@ -171,7 +190,7 @@ def estimates(rows: DataFrame, share: float = 0.75, steps: int = 5, most_broadca
 def judged(docs: DataFrame, limit: float = 50.0, least_rows: int = 60, most_broadcast: int = 20_000, **steps) -> DataFrame:
     """doc_id, the base counts, base_failed, distance (squared; null where its group is too small) and kept, for each row."""
     rows = common.staged(grouped(common.staged(statistics(docs), "statistics"), least_rows), "vectors")
-    found = estimates(rows, most_broadcast=most_broadcast, **steps).where(F.col("n") >= least_rows)
+    found = estimates(common.staged(distinct_vectors(rows), "counted"), most_broadcast=most_broadcast, **steps).where(F.col("n") >= least_rows)
     found = found.drop("n")
     if found.count() <= most_broadcast:
         found = F.broadcast(found)

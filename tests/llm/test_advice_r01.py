@@ -2,7 +2,11 @@
 
 import random
 
+import numpy as np
+from pyspark.sql import functions as F
+
 import corpus_pipeline
+from cairn.llm import quality
 from tests.llm.test_corpus_operators import SF, shingles
 
 
@@ -37,3 +41,23 @@ def test_the_pipeline_links_from_four_fifths(spark, documents):
     assert want != kept_at(rows, 85)
     got = stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF)
     assert {r["doc_id"] for r in got.collect()} == want
+
+
+def test_copies_do_not_become_the_centre(spark):
+    """Nine tenths of a source are copies of one text; another source holds hardly anything but copies."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    good = docs.where("lang = 'en'").join(labels.where("quality = 1"), "doc_id", "left_semi").withColumn("source", F.lit("a"))
+    good = good.dropDuplicates(["text"]).localCheckpoint()
+    n = good.count()
+    one = good.orderBy(F.length("text").desc()).limit(1)
+    copies = one.crossJoin(spark.range(9 * n)).withColumn("doc_id", F.col("id") + 10**6).drop("id")
+    odd = spark.createDataFrame([(-1, "#$% " * 40 + "&&& " * 60, "en", "b")], good.schema)
+    starved = copies.limit(200).withColumn("doc_id", F.col("doc_id") + 10**6).withColumn("source", F.lit("b")).unionByName(odd)
+    df = good.unionByName(copies).unionByName(starved)
+    out = {r["doc_id"]: r for r in quality.judged(df).collect()}
+    assert len(out) == df.count()
+    mine = [r["kept"] for i, r in out.items() if 0 <= i < 10**6 and not r["base_failed"]]
+    assert len(mine) >= 60 and np.mean(mine) > 0.97
+    assert all(r["kept"] for i, r in out.items() if i >= 10**6)
+    assert out[-1]["distance"] > 50
