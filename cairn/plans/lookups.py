@@ -62,6 +62,11 @@ def _(t):
     return Query(t.narinfos).order_by_child(t.narinfo_nar_files, "narinfo_id", "nar_file_id").limit(300).select("id")
 
 
+@query("q_order_by_edge_term_all", "SELECT i.id FROM narinfos i LEFT JOIN (SELECT narinfo_id, min(nar_file_id) AS t FROM narinfo_nar_files GROUP BY 1) l ON l.narinfo_id = i.id ORDER BY l.t ASC NULLS FIRST, i.id")
+def _(t):
+    return Query(t.narinfos).order_by_child(t.narinfo_nar_files, "narinfo_id", "nar_file_id").select("id")
+
+
 @query("q_first", "SELECT id, hash FROM narinfos WHERE compression = 'xz' ORDER BY id LIMIT 1")
 def _(t):
     return Query(t.narinfos).where(F.col("compression") == "xz").first().select("id", "hash")
@@ -94,6 +99,12 @@ def _(t):
     return out.select("id", F.array_join(F.transform("files", lambda x: x["nar_file_id"].cast("string")), ",").alias("files"))
 
 
+@query("q_eager_children_all", "SELECT i.id, coalesce(l.files, '') AS files FROM narinfos i LEFT JOIN (SELECT narinfo_id, string_agg(CAST(nar_file_id AS VARCHAR), ',' ORDER BY id) AS files FROM narinfo_nar_files GROUP BY 1) l ON l.narinfo_id = i.id")
+def _(t):
+    out = Query(t.narinfos).with_children(t.narinfo_nar_files, "narinfo_id", "files", "id")
+    return out.select("id", F.array_join(F.transform("files", lambda x: x["nar_file_id"].cast("string")), ",").alias("files"))
+
+
 @query("q_eager_parent", "SELECT r.nar_file_id, r.chunk_index, c.hash FROM nar_file_chunks r JOIN chunks c ON c.id = r.chunk_id")
 def _(t):
     return Query(t.nar_file_chunks, "id").with_parent(t.chunks, "chunk_id", "chunk_").select("nar_file_id", "chunk_index", F.col("chunk_hash").alias("hash"))
