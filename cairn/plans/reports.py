@@ -66,6 +66,18 @@ def _(t):
     return _size(t)
 
 
+SIZE_ALL = SIZE.removesuffix(" AND i.id % 60 = 0")
+
+
+def _size_all(t):
+    return integrity.size_mismatches(t.nar_files, t.narinfo_nar_files, t.narinfos).select("id")
+
+
+@query("q_size_mismatch_all", SIZE_ALL)
+def _(t):
+    return _size_all(t)
+
+
 @query("q_orphan_chunks_in_store", "SELECT DISTINCT hash FROM rows WHERE hash NOT IN (SELECT hash FROM chunks WHERE id % 2 = 0)")
 def _(t):
     return t.rows.select("hash").distinct().join(t.chunks.where("id % 2 = 0"), "hash", "left_anti")
@@ -89,7 +101,7 @@ def _(t):
     return integrity.assembled_mismatches(assembled, links, infos, t.documents.where("doc_id % 7 = 0").select(F.col("doc_id").alias("id")))
 
 
-@query("q_integrity_summary", f"""WITH n AS (
+SUMMARY = f"""WITH n AS (
   SELECT 0 AS position, '1a' AS "check", 'narinfos without a file' AS label, count(*) AS n FROM narinfos WHERE id NOT IN (SELECT narinfo_id FROM narinfo_nar_files)
   UNION ALL SELECT 1, '1b', 'files without a narinfo', count(*) FROM nar_files WHERE id NOT IN (SELECT nar_file_id FROM narinfo_nar_files)
   UNION ALL SELECT 2, '1c', 'files missing from storage', count(*) FROM nar_files WHERE total_chunks <= 0 AND id NOT IN (SELECT id FROM stored)
@@ -97,15 +109,27 @@ def _(t):
   UNION ALL SELECT 4, '1e', 'chunks without a file', count(*) FROM chunks WHERE id NOT IN (SELECT chunk_id FROM nar_file_chunks)
   UNION ALL SELECT 5, '1f', 'files with chunk issues', count(*) FROM ({CHUNK_ISSUES}) a
   UNION ALL SELECT 6, '1g', 'size mismatch', count(*) FROM ({SIZE}) b)
-  SELECT * FROM n UNION ALL SELECT 12, 'all', 'total', CAST(sum(n) AS BIGINT) FROM n""")
-def _(t):
+  SELECT * FROM n UNION ALL SELECT 12, 'all', 'total', CAST(sum(n) AS BIGINT) FROM n"""
+
+
+def _summary(t, size):
     return integrity.summary({
         "1a": integrity.unlinked_infos(t.narinfos, t.narinfo_nar_files), "1b": integrity.unlinked_files(t.nar_files, t.narinfo_nar_files),
         "1c": integrity.missing_files(t.nar_files, t.stored, ["id"]), "1d": integrity.unknown_files(t.stored, t.nar_files, ["id"]),
-        "1e": integrity.unlinked_chunks(t.chunks, t.nar_file_chunks), "1f": _chunk_issues(t), "1g": _size(t),
+        "1e": integrity.unlinked_chunks(t.chunks, t.nar_file_chunks), "1f": _chunk_issues(t), "1g": size,
     })
 
 
+@query("q_integrity_summary", SUMMARY)
+def _(t):
+    return _summary(t, _size(t))
+
+
+@query("q_integrity_summary_all", SUMMARY.replace(SIZE, SIZE_ALL))
+def _(t):
+    return _summary(t, _size_all(t))
+
+
 RESIDUE = f"""SELECT f.id, CASE WHEN f.chunking_started_at > {T} - INTERVAL 1 HOUR THEN 'skip'
    WHEN ok AND off AND flagged IS NOT NULL THEN 'normalise+clear' WHEN ok AND off THEN 'normalise' WHEN ok AND flagged IS NOT NULL THEN 'clear' WHEN ok THEN 'none'
    WHEN flagged IS NULL THEN 'set' WHEN flagged <= {T} - INTERVAL 1 DAY THEN 'reclaim' ELSE 'wait' END AS decision
@@ -128,11 +152,31 @@ def _(t):
     return _residue(t)
 
 
-@query("q_residue_report", f"SELECT issue, count(*) AS n FROM (SELECT CASE WHEN decision = 'reclaim' THEN 'reclaimable' WHEN starts_with(decision, 'normalise') THEN 'recoverable' END AS issue FROM ({RESIDUE}) r) x WHERE issue IS NOT NULL GROUP BY issue")
+REPORT = f"SELECT issue, count(*) AS n FROM (SELECT CASE WHEN decision = 'reclaim' THEN 'reclaimable' WHEN starts_with(decision, 'normalise') THEN 'recoverable' END AS issue FROM ({RESIDUE}) r) x WHERE issue IS NOT NULL GROUP BY issue"
+
+
+@query("q_residue_report", REPORT)
 def _(t):
     return integrity.residue_report(_residue(t))
 
 
+RESIDUE_ALL = RESIDUE.replace(" WHERE k.narinfo_id % 9 = 0", "").replace(" AND k.narinfo_id % 9 = 0", "")
+
+
+def _residue_all(t):
+    return integrity.residue(t.nar_files, t.narinfo_nar_files, t.narinfos, now())
+
+
+@query("q_residue_policy_all", RESIDUE_ALL)
+def _(t):
+    return _residue_all(t)
+
+
+@query("q_residue_report_all", REPORT.replace(RESIDUE, RESIDUE_ALL))
+def _(t):
+    return integrity.residue_report(_residue_all(t))
+
+
 @query("q_constraints", """SELECT 'unique chunks(hash)' AS rule, count(*) AS n FROM (SELECT hash FROM chunks GROUP BY hash HAVING count(*) > 1) a
   UNION ALL SELECT 'not negative chunks(size)', count(*) FROM chunks WHERE size < 0
   UNION ALL SELECT 'not negative chunks(compressed_size)', count(*) FROM chunks WHERE size - 40 < 0
@@ -294,19 +338,32 @@ def _(t):
     return known.groupBy(recovery.recovery_class(F.col("stored"), F.col("links"), F.col("id") % 4 == 0).alias("class")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("q_backingless_gc", """SELECT f.id AS nar_file_id, CASE WHEN count(l.narinfo_id) = 0 THEN 'delete_linkless'
+BACKINGLESS = """SELECT f.id AS nar_file_id, CASE WHEN count(l.narinfo_id) = 0 THEN 'delete_linkless'
    WHEN count(*) FILTER (WHERE l.narinfo_id IS NOT NULL AND NOT coalesce(p.gone, false)) = 0 THEN 'delete_absent' ELSE 'keep' END AS decision
   FROM nar_files f LEFT JOIN (SELECT * FROM narinfo_nar_files WHERE narinfo_id % 40 = 0) l ON l.nar_file_id = f.id
-  LEFT JOIN (SELECT narinfo_id, count(*) FILTER (WHERE status <> 'absent') = 0 AS gone FROM probes GROUP BY 1) p ON p.narinfo_id = l.narinfo_id GROUP BY f.id""")
+  LEFT JOIN (SELECT narinfo_id, count(*) FILTER (WHERE status <> 'absent') = 0 AS gone FROM probes GROUP BY 1) p ON p.narinfo_id = l.narinfo_id GROUP BY f.id"""
+
+
+@query("q_backingless_gc", BACKINGLESS)
 def _(t):
     return recovery.probed(t.nar_files, t.narinfo_nar_files.where("narinfo_id % 40 = 0"), t.probes)
 
 
+@query("q_backingless_gc_all", BACKINGLESS.replace(" WHERE narinfo_id % 40 = 0", ""))
+def _(t):
+    return recovery.probed(t.nar_files, t.narinfo_nar_files, t.probes)
+
+
 @query("q_purge_files", "SELECT nar_file_id FROM narinfo_nar_files WHERE narinfo_id % 100 < 3 GROUP BY nar_file_id HAVING count(*) = count(*) FILTER (WHERE narinfo_id % 2 = 0)")
 def _(t):
     return recovery.narinfo_purge(t.narinfo_nar_files.where("narinfo_id % 100 < 3"), t.narinfos.where("id % 2 = 0"))
 
 
+@query("q_purge_files_all", "SELECT nar_file_id FROM narinfo_nar_files GROUP BY nar_file_id HAVING count(*) = count(*) FILTER (WHERE narinfo_id % 2 = 0)")
+def _(t):
+    return recovery.narinfo_purge(t.narinfo_nar_files, t.narinfos.where("id % 2 = 0"))
+
+
 @query("q_staging_gc", """SELECT hash, status FROM staging_states WHERE CASE WHEN status = 'complete' THEN coalesce(updated_at, created_at) < TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 2 DAY
    ELSE coalesce(updated_at, created_at) < TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 1 DAY END""")
 def _(t):
