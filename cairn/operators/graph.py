@@ -2,54 +2,50 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import dropped, staged
 from . import dml
 
 
-def shared_folder(spark) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cairn-"))
-        folder = spark.sparkContext.getCheckpointDir()
-    return folder
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """df as Parquet in the shared folder, read again: its lineage ends there."""
-    path = f"{shared_folder(df.sparkSession)}/cairn-{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def closure(roots: DataFrame, edges: DataFrame, most_levels: int = 1000) -> DataFrame:
+def closure(roots: DataFrame, edges: DataFrame, most_levels: int | None = None, levels: int = 4) -> DataFrame:
     """node of everything reachable from roots (node) over edges (src, dst), roots included, known or not.
 
-    One job a level: the frontier meets the edges, what was visited goes, the rest is the next frontier. Each level is written
-    to the shared folder, so the plan does not grow and a lost executor costs one level at most. Cycles end by themselves."""
-    frontier = written(roots.select("node").distinct(), "closure")
-    levels = [frontier]
-    edges = written(edges.select("src", "dst").where("src <> dst").distinct(), "edges")
-    for _ in range(most_levels):
-        visited = levels[0]
-        for level in levels[1:]:
-            visited = visited.unionByName(level)
-        reached = edges.join(frontier.withColumnRenamed("node", "src"), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
-        frontier = written(reached.join(visited, "node", "left_anti"), "closure")
-        if frontier.isEmpty():
+    A job takes so many levels at once: the frontier meets the edges again and again, then what was visited goes. The nodes
+    that only the last of these levels reached are the next frontier. Each job's nodes are written to the shared folder, so the
+    plan does not grow and a lost executor costs one job at most. Cycles end by themselves. With most_levels given, a closure
+    that goes deeper raises."""
+    roots = staged(roots.select("node").distinct().withColumn("level", F.lit(0)), "closure")
+    edges = staged(edges.select("src", "dst").where("src <> dst").distinct(), "edges")
+    found, frontier, depth = [roots], roots, 0
+    while True:
+        at, steps = frontier.select("node"), []
+        for k in range(levels):
+            at = edges.join(at.withColumnRenamed("node", "src"), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
+            steps.append(at.withColumn("level", F.lit(k)))
+        reached = reduce(DataFrame.unionByName, steps).groupBy("node").agg(F.min("level").alias("level"))
+        visited = reduce(DataFrame.unionByName, found).select("node")
+        new = staged(reached.join(visited, "node", "left_anti"), "closure")
+        deepest = new.agg(F.max("level")).first()[0]
+        if deepest is None:
+            break
+        depth += deepest + 1
+        if most_levels is not None and depth > most_levels:
+            raise RuntimeError(f"the closure goes deeper than {most_levels} levels")
+        found.append(new)
+        frontier = new.where(F.col("level") == levels - 1)
+        if len(found) > 16:
+            whole = staged(reduce(DataFrame.unionByName, found), "closure")
+            frontier = staged(frontier, "frontier")
+            dropped(*found)
+            found = [whole]
+        if deepest < levels - 1:
             break
-        levels.append(frontier)
-        if len(levels) > 16:
-            levels = [written(visited.unionByName(frontier), "closure")]
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.unionByName(level)
-    return out
+    dropped(edges)
+    return reduce(DataFrame.unionByName, found).select("node")
 
 
 def referrers(edges: DataFrame, nodes: DataFrame) -> DataFrame:

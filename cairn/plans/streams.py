@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators.graph import shared_folder
+from ..shared import shared_folder
 from ..streaming import stateful
 from .registry import query
 
