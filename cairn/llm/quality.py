@@ -1,28 +1,35 @@
 """Quality rules: robust multivariate outliers.
 
-Each document becomes a vector of transformed statistics. For each language and source the minimum covariance determinant
-estimate of centre and spread is found by concentration steps from a median and deviation start: take the share of rows
-nearest the current centre, estimate again, repeat. A document is rejected if its Mahalanobis distance from its group's
-estimate is beyond the limit.
+Each document becomes a vector of transformed statistics. For each language and source, each language and all documents
+together, the minimum covariance determinant estimate of centre and spread is found: from three deterministic starts (medians
+and deviations; the correlation of squashed values; the spatial sign covariance) concentration steps take the share of rows
+nearest the current centre and estimate again, as long as the determinant falls. The start that ends with the least
+determinant stays. It is made consistent with the normal law, and estimated once more over all rows within the 0.975 quantile
+of chi-squared. A document is rejected if its squared Mahalanobis distance from its language's and source's estimate is beyond
+the quantile limit.
+
+Each estimate leans on the one above it (source on language, language on all) as if prior_rows rows had come from there: this
+counts in a group of a few rows and vanishes in a large one, so there is no least size and no document without a distance.
+Null lang or source is a value of its own.
 
 A step is one aggregation: rows fall into fine bins of distance, each group's bins carry counts, sums and products of the
-statistics, and the nearest share is the first bins that hold it. No rows are sorted or gathered, and a group of any size is
-summed before the shuffle. Groups of fewer than least_rows are estimated together for their language, languages that are
-still small all together, and below that nothing is rejected by distance. Null lang or source is a value of its own.
+statistics, and the nearest share is the first bins and the part of the next that make it up. No rows are sorted or gathered,
+a group of any size is summed before the shuffle, and where the groups are too many to broadcast they are matched in salted
+parts. Equal vectors count once in an estimate, so copies of one text cannot become a group's centre.
 
-Equal vectors count once in an estimate, so copies of one text cannot become a group's centre. A group of enough rows but
-fewer than least_rows distinct vectors is judged by the estimate over all its language, or with the small languages.
-
-Null and empty texts have no words and fail the base rule, as do texts of fewer than 20 words. Repeated rows are each judged
-and get equal verdicts. An empty table gives an empty result. Extra columns are not read.
+Null and empty texts have no words and fail the base rule, as do texts of fewer than 20 words. Very long texts are measured
+whole, and vectors at the same distance share a bin, so ties have no order to depend on. Repeated rows are each judged and get
+equal verdicts. An empty table gives an empty result. Extra columns are not read.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -106,97 +113,192 @@ def chi2_quantile(q: float, k: int) -> float:
     return low
 
 
-def grouped(stats: DataFrame, least_rows: int) -> DataFrame:
-    """stats with g, the group that judges a row: language and source, the language's small sources together, its language where
-    copies leave too few distinct vectors, or all small languages' together; and whole, the language's group that the row
-    counts in besides, or null."""
-    lang, source = (F.coalesce(F.col(c), F.lit("\0")) for c in ("lang", "source"))
-    keyed = stats.withColumn("_l", lang).withColumn("_s", source)
-    vectors = common.staged(keyed.groupBy("_l", "_s", F.xxhash64(*X).alias("v")).agg(F.count(F.lit(1)).alias("n")), "distinct")
-    sizes = vectors.groupBy("_l", "_s").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("d"))
-    few = common.staged(sizes.where(F.col("n") < least_rows).select("_l", "_s"), "small")
-    small = vectors.join(common.near(few, few.count()), ["_l", "_s"], "left_semi").groupBy("_l").agg(F.sum("n").alias("pooled"), F.countDistinct("v").alias("pooled_d"))
-    langs = vectors.groupBy("_l").agg(F.countDistinct("v").alias("lang_d"))
-    own, pool = F.col("n") >= least_rows, F.col("pooled") >= least_rows
-    by_lang = F.when(F.col("lang_d") >= least_rows, F.concat_ws("\1", "_l", F.lit(""), F.lit(""))).otherwise("")
-    levels = sizes.join(small, "_l", "left").join(langs, "_l").select(
-        F.col("_l").alias("_gl"), F.col("_s").alias("_gs"), by_lang.alias("whole"),
-        F.when(own & (F.col("d") >= least_rows), F.concat_ws("\1", "_l", "_s")).when(own, by_lang).when(pool & (F.col("pooled_d") >= least_rows), F.col("_l")).when(pool, by_lang).otherwise("").alias("g"),
-    )
-    levels = common.staged(levels, "groups")
-    asked = common.staged(levels.where("whole <> '' and g = whole").select("whole").distinct(), "whole")
-    levels = levels.drop("whole").join(levels.where("g <> whole").select("_gl", "_gs", "whole").join(common.near(asked, asked.count()), "whole", "left_semi"), ["_gl", "_gs"], "left")
-    levels = common.staged(levels, "levels")
-    return keyed.join(common.near(levels, levels.count()), (F.col("_l") == F.col("_gl")) & (F.col("_s") == F.col("_gs"))).drop("_l", "_s", "_gl", "_gs")
-
-
-def distinct_vectors(rows: DataFrame) -> DataFrame:
-    """g and vector of each group's rows, equal ones once."""
-    counted = rows.select("g", *X).unionByName(rows.where("whole is not null").select(F.col("whole").alias("g"), *X))
-    return counted.distinct()
-
-
-def _distance(center: str = "center", precision: str = "precision"):
-    d = [F.col(x) - F.get(center, F.lit(i)) for i, x in enumerate(X)]
-    total = F.lit(0.0)
-    for i in range(P):
-        for j in range(i, P):
-            total = total + d[i] * d[j] * F.get(precision, F.lit(i * P + j)) * (1.0 if i == j else 2.0)
-    return F.greatest(total, F.lit(0.0))
-
-
-ESTIMATE = "g string, n long, center array<double>, precision array<double>"
+def levels(rows: DataFrame) -> DataFrame:
+    """g and vector of each group's rows, equal ones once: language and source ("l\1s"), language ("l") and all ("")."""
+    own = rows.select("g", *X).distinct()
+    lang = own.select(F.split_part("g", F.lit("\1"), F.lit(1)).alias("g"), *X).distinct()
+    return own.unionByName(lang.select(F.concat(F.lit("\2"), "g").alias("g"), *X)).unionByName(lang.select(F.lit("").alias("g"), *X).distinct())
+
+
+def matched(rows: DataFrame, found: DataFrame, groups: int, most_broadcast: int, salts: int = 32) -> DataFrame:
+    """rows with their group's columns of found, a table of a few rows for each of so many groups: broadcast within the bound,
+    else joined in salted parts, so that a group of any size is spread."""
+    if groups <= most_broadcast:
+        return rows.join(F.broadcast(found), "g")
+    salt = F.pmod(F.xxhash64(*X), F.lit(salts))
+    parts = found.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return rows.withColumn("_salt", salt).join(parts, ["g", "_salt"]).drop("_salt")
+
+
+def _distance():
+    """The squared Mahalanobis distance of a row from its center by its precision. One SQL text: a call a term would be slow."""
+    d = [f"(x{i} - center[{i}])" for i in range(P)]
+    terms = [f"{d[i]} * {d[j]} * precision[{i * P + j}] * {1.0 if i == j else 2.0}D" for i in range(P) for j in range(i, P)]
+    return F.expr(f"greatest({' + '.join(terms)}, 0.0D)")
+
+
+ESTIMATE = "g string, start int, n long, center array<double>, spread array<double>, precision array<double>, logdet double, was double"
+TYPES = [pa.string(), pa.int32(), pa.int64(), *[pa.list_(pa.float64())] * 3, pa.float64(), pa.float64()]
+ROWS, COLUMNS = np.triu_indices(P)
+
+
+def _sums(values: list[str]) -> list:
+    """Aggregates: the count, and an array of the sums and products of the given P columns."""
+    terms = [*values, *[f"{values[i]} * {values[j]}" for i, j in zip(ROWS.tolist(), COLUMNS.tolist())]]
+    return [F.count(F.lit(1)).alias("n"), F.expr(f"array({', '.join(f'sum({t})' for t in terms)})").alias("sums")]
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy().reshape(len(column), -1)
+
+
+def _moments(n: np.ndarray, sums: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and second moments of rows of sums, each with its weight."""
+    w = np.ones(len(n)) if weight is None else weight
+    v = w @ sums / (w @ n)
+    second = np.zeros((P, P))
+    second[ROWS, COLUMNS] = second[COLUMNS, ROWS] = v[P:]
+    return v[:P], second
+
+
+def _floor() -> np.ndarray:
+    return np.diag(np.array(list(STATISTICS.values())) ** 2)
+
+
+def _row(g: str, start: int, n: int, center: np.ndarray, spread: np.ndarray, was: float) -> pa.Table:
+    row = (g, start, n, center.tolist(), spread.ravel().tolist(), np.linalg.inv(spread).ravel().tolist(), float(np.linalg.slogdet(spread)[1]), was)
+    return pa.table([pa.array([x], t) for x, t in zip(row, TYPES)], names=[x.split()[0] for x in ESTIMATE.split(", ")])
+
+
+def _first(sums: pa.Table) -> pa.Table:
+    """One group's start: spreads of standardised values (0), squashed values (1) or directions (2), scaled back."""
+    mean, second = _moments(sums["n"].to_numpy(), _matrix(sums["sums"]))
+    center, scale = _matrix(sums["m"])[0], _matrix(sums["d"])[0]
+    start = sums["start"][0].as_py()
+    if start == 0:
+        corr = np.eye(P)
+    elif start == 1:
+        cov = second - np.outer(mean, mean) + 1e-9 * np.eye(P)
+        corr = cov / np.sqrt(np.outer(np.diag(cov), np.diag(cov)))
+    else:
+        corr = second * P
+    return _row(sums["g"][0].as_py(), start, sums["n"][0].as_py(), center, corr * np.outer(scale, scale) + _floor(), math.inf)
 
 
 def _concentrated(share: float):
     """Of one group's bins in order of distance: the estimate over the nearest share of its rows."""
-    least = np.array(list(STATISTICS.values())) ** 2
     factor = share / chi2_cdf(chi2_quantile(share, P), P + 2)
 
-    def f(bins: pd.DataFrame) -> pd.DataFrame:
-        bins = bins.sort_values("bin")
-        n = bins["n"].to_numpy()
-        upto = int(np.searchsorted(np.cumsum(n), share * n.sum())) + 1
-        near = bins.iloc[:upto]
-        h = near["n"].sum()
-        mean = near[[f"s{i}" for i in range(P)]].to_numpy().sum(0) / h
-        second = np.zeros((P, P))
-        for i in range(P):
-            for j in range(i, P):
-                second[i, j] = second[j, i] = near[f"p{i}_{j}"].sum() / h
-        spread = (second - np.outer(mean, mean)) * factor + np.diag(least)
-        return pd.DataFrame({"g": [bins["g"].iloc[0]], "n": [int(n.sum())], "center": [mean.tolist()], "precision": [np.linalg.inv(spread).ravel().tolist()]})
+    def f(bins: pa.Table) -> pa.Table:
+        order = np.argsort(bins["bin"].to_numpy())
+        n = bins["n"].to_numpy()[order]
+        left = share * n.sum() - (np.cumsum(n) - n)
+        mean, second = _moments(n, _matrix(bins["sums"])[order], np.clip(left / n, 0, 1))
+        return _row(bins["g"][0].as_py(), bins["start"][0].as_py(), int(n.sum()), mean, (second - np.outer(mean, mean)) * factor + _floor(), bins["was"][0].as_py())
 
     return f
 
 
-def estimates(rows: DataFrame, share: float = 0.75, steps: int = 5, most_broadcast: int = 20_000) -> DataFrame:
-    """g, n, center and precision of each group of rows (g and the vector's columns)."""
-    medians = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(x, 0.5, 10_000).alias(f"m{x}") for x in X])
-    few = medians.count() <= most_broadcast
-    near = (lambda df: F.broadcast(df)) if few else (lambda df: df)
-    apart = rows.join(near(medians), "g").groupBy("g").agg(*[F.percentile_approx(F.abs(F.col(x) - F.col(f"m{x}")), 0.5, 10_000).alias(f"d{x}") for x in X])
-    least = list(STATISTICS.values())
-    weights = [F.lit(1.0) / (F.pow(F.col(f"d{X[i]}") * 1.4826, 2) + least[i] ** 2) if i == j else F.lit(0.0) for i in range(P) for j in range(P)]
-    now = medians.join(apart, "g").select("g", "n", F.array(*[F.col(f"m{x}") for x in X]).alias("center"), F.array(*weights).alias("precision"))
-    for _ in range(steps):
-        now = common.staged(now, "estimate")
-        binned = rows.join(near(now.drop("n")), "g").withColumn("bin", F.floor(F.log(_distance() + 1e-6) * BINS))
-        sums = binned.groupBy("g", "bin").agg(F.count(F.lit(1)).alias("n"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(X)], *[F.sum(F.col(X[i]) * F.col(X[j])).alias(f"p{i}_{j}") for i in range(P) for j in range(i, P)])
-        now = sums.groupBy("g").applyInPandas(_concentrated(share), ESTIMATE)
-    return common.staged(now, "estimate")
-
-
-def judged(docs: DataFrame, limit: float = 50.0, least_rows: int = 60, most_broadcast: int = 20_000, **steps) -> DataFrame:
-    """doc_id, the base counts, base_failed, distance (squared; null where its group is too small) and kept, for each row."""
-    rows = common.staged(grouped(common.staged(statistics(docs), "statistics"), least_rows), "vectors")
-    found = estimates(common.staged(distinct_vectors(rows), "counted"), most_broadcast=most_broadcast, **steps).where(F.col("n") >= least_rows)
-    found = found.drop("n")
-    if found.count() <= most_broadcast:
-        found = F.broadcast(found)
-    out = rows.join(found, "g", "left").withColumn("distance", _distance())
+def _reweighted(within: float):
+    factor = within / chi2_cdf(chi2_quantile(within, P), P + 2)
+
+    def f(sums: pa.Table) -> pa.Table:
+        mean, second = _moments(sums["n"].to_numpy(), _matrix(sums["sums"]))
+        return _row(sums["g"][0].as_py(), 0, sums["of"][0].as_py(), mean, (second - np.outer(mean, mean)) * factor + _floor(), math.inf)
+
+    return f
+
+
+def leaned(found: DataFrame, prior_rows: float, most_broadcast: int) -> DataFrame:
+    """Estimates of all levels, each drawn towards the one above by the weight of prior_rows rows."""
+
+    def mixed(at: str) -> list:
+        weight = prior_rows / (F.col("n") + prior_rows)
+        return [F.zip_with(c, f"{at}_{c}", lambda x, y: x * (1 - weight) + y * weight).alias(c) for c in ("center", "spread")]
+
+    named = lambda df, at: df.select(F.col("g").alias(f"{at}_g"), F.col("center").alias(f"{at}_center"), F.col("spread").alias(f"{at}_spread"))
+    found = found.select("g", "n", "center", "spread")
+    every = found.where("g = ''")
+    lang = found.where(F.col("g").startswith("\2"))
+    few = (lambda df: F.broadcast(df)) if lang.count() <= most_broadcast else (lambda df: df)
+    lang = lang.withColumn("up_g", F.lit("")).join(F.broadcast(named(every, "up")), "up_g").select("g", "n", *mixed("up"))
+    own = found.where(F.col("g").contains("\1"))
+    of = F.concat(F.lit("\2"), F.split_part("g", F.lit("\1"), F.lit(1)))
+    own = own.withColumn("up_g", of).join(few(named(lang, "up")), "up_g").select("g", "n", *mixed("up"))
+
+    def inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [np.linalg.inv(np.array(x).reshape(P, P)).ravel().tolist() for x in b.column("spread").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.list_(pa.float64()))], names=[*b.schema.names, "precision"])
+
+    out = every.unionByName(lang).unionByName(own)
+    return out.mapInArrow(inverted, "g string, n long, center array<double>, spread array<double>, precision array<double>")
+
+
+def concentrated(rows: DataFrame, groups: int, share: float, falls: float, most_broadcast: int) -> DataFrame:
+    """The estimate of least determinant for each group of rows (g and the vector's columns): g, n, center, spread, precision."""
+    medians = rows.groupBy("g").agg(F.expr(f"array({', '.join(f'percentile_approx({x}, 0.5, 10000)' for x in X)})").alias("m"))
+    apart = [f"greatest(percentile_approx(abs({x} - m[{i}]), 0.5, 10000) * 1.4826D, {w}D)" for i, (x, w) in enumerate(zip(X, STATISTICS.values()))]
+    apart = matched(rows, medians, groups, most_broadcast).groupBy("g").agg(F.max("m").alias("m"), F.expr(f"array({', '.join(apart)})").alias("d"))
+    apart = common.staged(apart, "apart")
+    z = [f"(({x} - m[{i}]) / d[{i}]) as z{i}" for i, x in enumerate(X)]
+    scaled = matched(rows, apart, groups, most_broadcast).selectExpr("g", "m", "d", *z)
+    norm = F.expr(f"sqrt({' + '.join(f'z{i} * z{i}' for i in range(P))} + 1e-12D)")
+    turns = [", ".join(f"{f.format(f'z{i}')} as t{i}" for i in range(P)) for f in ("{}", "tanh({})", "{} / norm")]
+    turned = F.expr(f"explode(array({', '.join(f'struct({k} as start, {t})' for k, t in enumerate(turns))}))")
+    three = scaled.withColumn("norm", norm).select("g", "m", "d", turned.alias("t")).select("g", "m", "d", "t.*")
+    sums = three.groupBy("g", "start").agg(*_sums([f"t{i}" for i in range(P)]), F.max("m").alias("m"), F.max("d").alias("d"))
+    now = common.staged(sums.groupBy("g", "start").applyInArrow(_first, ESTIMATE), "estimate")
+    ended, used = [], [apart]
+    while True:
+        near = matched(rows, now.select("g", "start", "center", "precision", F.col("logdet").alias("was")), groups, most_broadcast)
+        binned = near.withColumn("bin", F.floor(F.log(_distance() + 1e-6) * BINS))
+        sums = binned.groupBy("g", "start", "bin").agg(F.max("was").alias("was"), *_sums(X))
+        step = common.staged(sums.groupBy("g", "start").applyInArrow(_concentrated(share), ESTIMATE), "estimate")
+        # the first step's determinants follow starts that are no estimates over the share: they may rise
+        first = not ended
+        fell = F.lit(True) if first else F.col("was") - F.col("logdet") > falls
+        ended.append(step.where(~fell))
+        used += [now, step]
+        now = step.where(fell)
+        if now.isEmpty():
+            break
+    every = reduce(DataFrame.unionByName, ended)
+    best = F.min_by(F.struct("n", "center", "spread", "precision"), F.struct("logdet", "start")).alias("e")
+    out = common.staged(every.groupBy("g").agg(best).select("g", "e.*"), "concentrated")
+    for x in used:
+        if hasattr(x, "_cairn_path"):
+            common.dropped(x)
+    return out
+
+
+def estimates(rows: DataFrame, share: float = 0.75, within: float = 0.975, falls: float = 1e-3, prior_rows: float = 2 * P, most_broadcast: int = 20_000) -> DataFrame:
+    """g, n, center, spread and precision of each group of rows (g and the vector's columns): concentrated, leaned, reweighted
+    and leaned again."""
+    groups = rows.select("g").distinct().count()
+    raw = concentrated(rows, groups, share, falls, most_broadcast)
+    held = common.staged(leaned(raw, prior_rows, most_broadcast), "leaned")
+    near = matched(rows, held.select("g", "center", "precision", F.col("n").alias("of")), groups, most_broadcast).where(_distance() <= chi2_quantile(within, P))
+    again = near.groupBy("g").agg(F.max("of").alias("of"), *_sums(X))
+    again = again.groupBy("g").applyInArrow(_reweighted(within), ESTIMATE).select("g", "n", "center", "spread")
+    kept = raw.select("g", "n", "center", "spread").join(again.select("g"), "g", "left_anti")  # no row within: the raw estimate
+    out = common.staged(leaned(common.staged(again.unionByName(kept), "reweighted"), prior_rows, most_broadcast), "estimates")
+    common.dropped(raw)
+    common.dropped(held)
+    return out
+
+
+def judged(docs: DataFrame, quantile: float = 0.9999, most_broadcast: int = 20_000, **limits) -> DataFrame:
+    """doc_id, the base counts, base_failed, distance (squared) and kept, for each row. quantile: of chi-squared, the limit."""
+    name = lambda c: F.translate(F.coalesce(F.col(c), F.lit("\0")), "\1\2", "")
+    stats = statistics(docs).withColumn("g", F.concat(name("lang"), F.lit("\1"), name("source"))).drop("lang", "source")
+    rows = common.staged(stats, "statistics")
+    vectors = common.staged(levels(rows), "vectors")
+    found = estimates(vectors, most_broadcast=most_broadcast, **limits).where(F.col("g").contains("\1")).select("g", "center", "precision")
+    common.dropped(vectors)
+    out = matched(rows, found, found.count(), most_broadcast).withColumn("distance", _distance())
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "distance", (~failed & F.coalesce(F.col("distance") <= limit, F.lit(True))).alias("kept"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "distance", (~failed & (F.col("distance") <= chi2_quantile(quantile, P))).alias("kept"))
 
 
 def op5_quality(spark, sf_dir: str) -> DataFrame:
