@@ -3,10 +3,12 @@
 The list is held as a blocked Bloom filter: rows of one 512-bit block each, made with bit_or. A URL's hash names one block and
 eight bits in it, so a test touches one row. Only URLs whose bits are all set go on to the exact join with the list, which
 removes false positives. The blocks are broadcast while their measured size is within most_bytes; beyond it the same rows are
-joined by block number through a shuffle.
+joined by block number through a shuffle. A list of up to BROADCAST_ROWS rows is broadcast for the exact join as well, and pages
+are read and parsed once; beyond that the tested pages are staged, and only possible hits are shuffled to the list.
 
-Null URLs and URLs without "://" have an empty host and path, no rule, and are allowed. Repeated rows are each judged. An
-empty list blocks nothing. Extra columns are not read.
+Null URLs and URLs without "://" have an empty host and path, no rule, are on no list, and are allowed. Very long URLs are read
+whole. Of rules that fit, the longest wins; two of one length fit the same URL only if they are equal. Repeated rows are each
+judged. An empty table gives an empty result, an empty list blocks nothing. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -21,8 +23,8 @@ shipped(__name__)
 
 #: Rules (verdict, host, path) of the query; fixed values.
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
-#: Host labels whose pages make up the list of the query; fixed values.
-LISTED = ["ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
+#: The query's list: the URLs whose canonical form has a digest that begins with one of these digits, an eighth of all.
+LISTED = "01"
 #: Query parameters that a canonical URL leaves out.
 TRACKING = "^(utm_[^=]*|ref)(=|$)"
 WORDS, PROBES = 8, 8
@@ -79,10 +81,12 @@ def blocked_bloom(listed: DataFrame, key: str, blocks: int) -> DataFrame:
     return listed.groupBy(_block(key, blocks).alias("block")).agg(F.array(*words).alias("words"))
 
 
-def on_list(pages: DataFrame, listed: DataFrame, key: str, bits_per_entry: int = 16, most_bytes: int = 64 << 20) -> DataFrame:
-    """pages with a boolean column listed: whether key is in the list, a table with a column key."""
-    listed = listed.select(key).where(F.col(key).isNotNull()).distinct()
-    blocks = max(1, -(-listed.count() * bits_per_entry // (64 * WORDS)))
+def on_list(pages: DataFrame, listed: DataFrame, key: str, bits_per_entry: int = 16, most_bytes: int = 64 << 20, most_rows: int = common.BROADCAST_ROWS) -> DataFrame:
+    """pages with the boolean columns possible (the filter's answer) and listed (whether key is in the list, a table with a
+    column key)."""
+    listed = common.staged(listed.select(key).where(F.col(key).isNotNull()).distinct(), "listed")
+    n = listed.count()
+    blocks = max(1, -(-n * bits_per_entry // (64 * WORDS)))
     bloom = blocked_bloom(listed, key, blocks)
     if blocks * WORDS * 8 <= most_bytes:
         bloom = F.broadcast(bloom)
@@ -90,10 +94,17 @@ def on_list(pages: DataFrame, listed: DataFrame, key: str, bits_per_entry: int =
     for word, bit in _bits(key):
         set_bits = set_bits & (F.call_function("shiftrightunsigned", F.get("words", word), bit).bitwiseAND(F.lit(1).cast("long")) == 1)
     tested = pages.withColumn("block", _block(key, blocks)).join(bloom, "block", "left")
-    tested = tested.withColumn("possible", F.coalesce(F.col("words").isNotNull() & set_bits, F.lit(False))).drop("block", "words")
-    never = tested.where(~F.col("possible")).withColumn("listed", F.lit(False))
-    exact = tested.where("possible").join(listed.withColumn("listed", F.lit(True)), key, "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
-    return never.drop("possible").unionByName(exact.drop("possible"))
+    possible = F.col("words").isNotNull() & F.col(key).isNotNull() & F.coalesce(set_bits, F.lit(False))
+    tested = tested.withColumn("possible", possible).drop("block", "words")
+    hit = listed.select(F.col(key).alias("_hit"), F.lit(True).alias("listed"))
+    answer = F.coalesce("listed", F.lit(False)).alias("listed")
+    if n <= most_rows:
+        probe = F.when(F.col("possible"), F.col(key)) == F.col("_hit")
+        return tested.join(F.broadcast(hit), probe, "left").select(*pages.columns, "possible", answer)
+    tested = common.staged(tested, "tested")
+    never = tested.where("not possible").withColumn("listed", F.lit(False))
+    exact = tested.where("possible").join(hit, F.col(key) == F.col("_hit"), "left").select(*tested.columns, answer)
+    return never.unionByName(exact)
 
 
 def judged(pages: DataFrame, listed: DataFrame, rules=RULES, **limits) -> DataFrame:
@@ -105,10 +116,15 @@ def judged(pages: DataFrame, listed: DataFrame, rules=RULES, **limits) -> DataFr
     return out.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"), "listed")
 
 
-def listed_urls(pages: DataFrame, labels=tuple(LISTED)) -> DataFrame:
-    """The canonical URLs of pages whose host has one of the labels."""
-    pattern = rf"(^|\.)({'|'.join(labels)})\."
-    return pages.where(host(F.col("url")).rlike(pattern)).select(canonical(F.col("url")).alias("canonical")).distinct()
+def listed_urls(urls: DataFrame, digits: str = LISTED) -> DataFrame:
+    """canonical: the list that stands in for a public one, of URLs chosen by the digest of their canonical form. The list has
+    them as lists do, in another guise: with a user, www., default port, trailing slashes and a tracking parameter; canonical() takes
+    these off. Nothing but the whole canonical URL says whether a page is on it."""
+    form = F.when(F.instr("url", "://") > 0, canonical(F.col("url")))
+    chosen = urls.select(form.alias("c")).where(F.substring(F.md5("c"), 1, 1).isin(*digits)).distinct()
+    place, query = F.split_part("c", F.lit("?"), F.lit(1)), F.regexp_extract("c", r"(?s)\?(.*)$", 1)
+    guise = F.concat(F.lit("http://user@www."), F.regexp_replace(place, "^([^/]*)", "$1:80"), F.lit("//?utm_campaign=x"), F.when(query != "", F.concat(F.lit("&"), query)).otherwise(""))
+    return chosen.select(canonical(guise).alias("canonical"))
 
 
 def op7_url_filter(spark, sf_dir: str) -> DataFrame:
@@ -134,7 +150,7 @@ WITH parts AS (
   SELECT page_id, host, path, CASE WHEN whole THEN place || CASE WHEN kept <> '' THEN '?' || kept ELSE '' END END AS canonical
   FROM named
 ), listed AS (
-  SELECT DISTINCT canonical FROM urls WHERE regexp_matches(host, '(^|\.)({'|'.join(LISTED)})\.') AND canonical IS NOT NULL
+  SELECT DISTINCT canonical FROM urls WHERE left(md5(canonical), 1) IN ('{"', '".join(LISTED)}')
 ), ruled AS (
   SELECT u.page_id, u.host, u.path, l.canonical IS NOT NULL AS listed,
          CASE WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
