@@ -6,9 +6,10 @@ product over its words. The probabilities come from a few rounds of expected pie
 words of labelled training rows, smoothed with the counts of all languages together.
 
 Training rows: rows_per_language of each language in expectation, or all if there are fewer, chosen by a hash of the row (a
-documented bound; every text is taken whole). Words are runs of letters, in lower case. A null text, or one without a letter, is "und" with score 0; with
+documented bound; every text is taken whole, a word of any length too: up to 40 letters with plain sums, beyond with their
+logarithms). Words are runs of letters, in lower case. A null text, or one without a letter, is "und" with score 0; with
 nothing to learn from, every text is. Ties go to the language first in code-point order. Repeated rows get equal verdicts;
-extra columns are not read, and lang, source and doc_id do not enter a prediction.
+an empty table gives an empty result. Extra columns are not read, and lang, source and doc_id do not enter a prediction.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ shipped(__name__)
 META = "▁"
 WORD = re.compile(r"[^\W\d_]+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
-WIDTHS, SLICE, UNKNOWN = (8, 12, 16, 24, 40), 4000, 1e-7
+WIDTHS, SLICE, UNKNOWN = (8, 12, 16, 24, 40), 32_000, 1e-7
 
 
 def words_of(text: bytes | None) -> list[str]:
@@ -88,53 +89,50 @@ class Lattice:
         low = 0
         for width in WIDTHS:
             chosen = np.flatnonzero((sizes > low) & (sizes <= width))
-            for at in range(0, len(chosen), SLICE):
-                rows = chosen[at : at + SLICE]
+            for at in range(0, len(chosen), SLICE // width):
+                rows = chosen[at : at + SLICE // width]
                 n, found = self.pieces([words[k] for k in rows.tolist()], width)
                 alpha, _ = self.forward(n, found, p)
                 out[rows] = np.log(alpha[n, np.arange(len(rows))])
             low = width
-        for k in np.flatnonzero(sizes > low).tolist():
-            out[k] = self.long(words[k], p)
+        for rows in self.slices(words, np.flatnonzero(sizes > low), sizes):
+            n, _, _, alpha = self.logs([words[k] for k in rows.tolist()], p)
+            out[rows] = alpha[n, np.arange(len(rows))]
         return out
 
-    def long(self, word: str, p: np.ndarray) -> np.ndarray:
-        """One word of any length: the last few alphas, rescaled as they shrink."""
-        total = np.zeros(p.shape[1])
-        step = WIDTHS[-1] - self.longest
-        # a window of text at a time; each begins with the alphas at the ends within the longest piece before it
-        text = META + word
-        alphas = [np.ones(p.shape[1])]
-        for start in range(0, len(text), step):
-            lead = min(start, self.longest)
-            part = text[start - lead : start + step]
-            codes = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-            prefix = np.zeros(len(codes) + 1, np.uint64)
-            h = 0
-            for i, c in enumerate(codes.tolist()):
-                prefix[i + 1] = h = (h * int(BASE) + c + 1) & (1 << 64) - 1
-            found = [self.find(prefix[k:] - prefix[:-k] * self.power[k]) for k in range(1, min(self.longest, len(codes)) + 1)]
-            found[0] = np.where(found[0] < 0, self.unknown, found[0])
-            for end in range(lead + 1, len(part) + 1):
-                a = np.zeros(p.shape[1])
-                for k in range(1, min(len(found), end, len(alphas)) + 1):
-                    if (i := found[k - 1][end - k]) >= 0:
-                        a = a + alphas[-k] * p[i]
-                alphas = [*alphas[-self.longest :], a]
-            scale = alphas[-1]
-            total += np.log(scale)
-            alphas = [x / scale for x in alphas]
-        return total
+    def logs(self, words: list[str], p: np.ndarray, of: np.ndarray | None = None) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray], np.ndarray]:
+        """For words of any length: lengths, pieces, their log probabilities by piece length [word, start, language], and the
+        log of alpha [end, word, language]."""
+        sizes, found = self.pieces(words, max(map(len, words)))
+        lp = np.log(p)
+        q = [np.where((f >= 0)[..., None], lp[f], -np.inf) if of is None else np.where(f >= 0, lp[f, of[:, None]], -np.inf)[..., None] for f in found]
+        width = int(sizes.max())
+        alpha = np.full((width + 1, len(words), q[0].shape[2]), -np.inf)
+        alpha[0] = 0.0
+        for end in range(1, width + 1):
+            alpha[end] = logsum(np.stack([alpha[end - k] + q[k - 1][:, end - k] for k in range(1, min(len(q), end) + 1)]))
+        return sizes, found, q, alpha
+
+    def slices(self, words: list[str], chosen: np.ndarray, sizes: np.ndarray, cells: int = 20_000) -> Iterator[np.ndarray]:
+        """Long words in slices of about so many characters, or of one word."""
+        chosen = chosen[np.argsort(sizes[chosen], kind="stable")]
+        at = 0
+        while at < len(chosen):
+            n = max(1, cells // int(sizes[chosen[at]]))
+            while n > 1 and n * int(sizes[chosen[min(at + n, len(chosen)) - 1]]) > 2 * cells:
+                n //= 2
+            yield chosen[at : at + n]
+            at += n
 
     def expected(self, words: list[str], counts: np.ndarray, of: np.ndarray, p: np.ndarray) -> np.ndarray:
-        """Expected counts of pieces [piece, language]; words longer than the widest matrix are left to their own likelihoods."""
+        """Expected counts of pieces [piece, language], of words of any length."""
         out = np.zeros(p.size)
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         low = 0
         for width in WIDTHS:
             chosen = np.flatnonzero((sizes > low) & (sizes <= width))
-            for at in range(0, len(chosen), SLICE):
-                rows = chosen[at : at + SLICE]
+            for at in range(0, len(chosen), SLICE // width):
+                rows = chosen[at : at + SLICE // width]
                 n, found = self.pieces([words[k] for k in rows.tolist()], width)
                 alpha, q = self.forward(n, found, p, of[rows])
                 every, most = np.arange(len(rows)), int(n.max())
@@ -148,11 +146,32 @@ class Lattice:
                     for start in range(most - k + 1):
                         e = weight * alpha[start, :, 0] * q[k - 1][:, start, 0] * beta[start + k]
                         if len(some := np.flatnonzero(e > 0)):
-                            out += np.bincount(found[k - 1][some, start].astype(np.int64) * p.shape[1] + of[rows[some]], e[some], len(out))
+                            np.add.at(out, found[k - 1][some, start].astype(np.int64) * p.shape[1] + of[rows[some]], e[some])
             low = width
+        for rows in self.slices(words, np.flatnonzero(sizes > low), sizes):
+            n, found, q, alpha = self.logs([words[k] for k in rows.tolist()], p, of[rows])
+            every, most = np.arange(len(rows)), int(n.max())
+            beta = np.full((most + 1, len(rows)), -np.inf)
+            beta[n, every] = 0.0
+            total = alpha[n, every, 0]
+            for start in range(most - 1, -1, -1):
+                ways = np.stack([q[k - 1][:, start, 0] + beta[start + k] for k in range(1, min(len(q), most - start) + 1)])
+                beta[start] = np.where(n == start, 0.0, logsum(ways))
+                for k, way in enumerate(ways):
+                    e = counts[rows] * np.exp(alpha[start, :, 0] + way - total)
+                    if len(some := np.flatnonzero(e > 0)):
+                        np.add.at(out, found[k][some, start].astype(np.int64) * p.shape[1] + of[rows[some]], e[some])
         return out.reshape(p.shape)
 
 
+def logsum(x: np.ndarray) -> np.ndarray:
+    """log of the sum of exp along the first axis."""
+    most = x.max(0)
+    base = np.where(np.isfinite(most), most, 0.0)
+    with np.errstate(divide="ignore"):
+        return base + np.log(np.exp(x - base).sum(0))
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter = Counter()
 
@@ -170,13 +189,16 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def learned(docs: DataFrame, model_path: str | None = None, rows_per_language: int = 3000, rounds: int = 2) -> tuple[list[str], np.ndarray]:
+def learned(docs: DataFrame, model_path: str | None = None, rows_per_language: int = 3000, rounds: int = 2, most_languages: int = 1000) -> tuple[list[str], np.ndarray]:
     """The languages and the probabilities [piece, language] from rows with text and lang.
 
-    What comes to the driver is bounded by the vocabulary's size times the number of languages."""
+    What comes to the driver and goes to the workers is bounded by the vocabulary's size times the number of languages, and
+    more than most_languages values of lang raise."""
     spark, model = docs.sparkSession, vocabulary_bytes(model_path)
     docs = docs.where("text is not null and lang is not null").select("doc_id", "text", "lang")
-    sizes = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(most_languages + 1).collect()}
+    if len(sizes) > most_languages:
+        raise ValueError(f"more than {most_languages} languages")
     names, langs = piece_names(model), sorted(sizes)
     if not langs:
         return [], np.zeros((len(names) + 1, 0))
