@@ -1,7 +1,9 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame functions only.
 
 Four fixed patterns give the base spans. They and strictly shaped secrets are the seeds. Every identifier-like token (one with
-a digit) has a lexical pattern, the two words before it; patterns and the identifiers they precede make a graph. A pattern's
+a digit or an @, of any length) has a lexical pattern, the two words before it, however long or far away; patterns and the
+identifiers they precede make a graph, a token standing for its first run of identifier characters with a digit or an @.
+Identifiers without either are out of reach. A pattern's
 confidence is the mean belief in its distinct identifiers, an identifier's belief 1 if it is a seed and else what its patterns
 together lend it; some rounds of both follow. Patterns with enough distinct identifiers and confidence then mark the
 identifiers after them that no base span covers, as spans of kind "id".
@@ -10,7 +12,8 @@ Positions come from what stands between the matches: a split by the same pattern
 document, so the work is linear in the matches. Only matches are shuffled, never texts. Graph counts are summed before the
 shuffle, and each pattern and identifier meet in one row.
 
-Null and empty texts have no spans. Repeated rows are found together and come out as often as they went in; rows that share
+Null and empty texts have no spans. Very long texts are read whole. Spans that start together come in the order of KINDS.
+Repeated rows are found together and come out as often as they went in; rows that share
 only a doc_id are kept apart by a hash of the text. An empty table gives an empty result. Extra columns are not read.
 """
 
@@ -31,11 +34,12 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 SPACE = r"\x20\x09-\x0D"
-CANDIDATE = rf"(?<![^{SPACE}])[^{SPACE}0-9]*+[0-9][^{SPACE}]*+"
-CORE = "[A-Za-z0-9](?:[A-Za-z0-9._:/+=-]*[A-Za-z0-9])?"
+CANDIDATE = rf"(?<![^{SPACE}])[^{SPACE}0-9@]*+[0-9@][^{SPACE}]*+"
+#: Of a token, the first run of these characters with a digit or an @, from its first to its last letter or digit.
+RUN = "A-Za-z0-9._:/+=@-"
+CORE = f"(?<![{RUN}])[._:/+=@-]*+(?=[{RUN}]*[0-9@])([A-Za-z0-9](?:[{RUN}]*[A-Za-z0-9])?)"
 #: Secrets of a strict shape, which join the seeds.
 SECRET = "^(?=.*[0-9])[0-9A-Fa-f]{32,}$"
-CONTEXT = 60
 SEED, LEARNED = "candidate", "id"
 
 
@@ -63,13 +67,21 @@ def valid(kind: Column, match: Column) -> Column:
     )
 
 
+def _last_words(text: Column) -> Column:
+    """The last two words of a text in lower case, white space on either side kept as one space."""
+    words = F.split(F.lower(text), f"[{SPACE}]+")
+    n = F.size(words)
+    return F.array_join(F.slice(words, F.greatest(n - 3, F.lit(1)), 4), " ")
+
+
 def _matches(text: Column, kind: str, pattern: str, may: Column) -> Column:
-    """array<struct<kind, i, gap, match>>: gap is what stands between the match before and this one."""
+    """array<struct<kind, i, gap, before, match>>: gap is the length of what stands between the match before and this one, before
+    (of tokens) its last two words."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
     rows = F.zip_with(found, between, lambda m, g: F.struct(m.alias("match"), g.alias("gap")))
     size = F.size(found)
-    numbered = F.transform(F.slice(rows, 1, F.greatest(size, F.lit(1))), lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), F.length(x["gap"]).alias("gap"), F.right(x["gap"], F.lit(CONTEXT)).alias("before"), x["match"].alias("match")))
+    numbered = F.transform(F.slice(rows, 1, F.greatest(size, F.lit(1))), lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), F.length(x["gap"]).alias("gap"), (_last_words(x["gap"]) if kind == SEED else F.lit("")).alias("before"), x["match"].alias("match")))
     return F.when(may & text.rlike(pattern), F.filter(numbered, lambda x: x["match"].isNotNull()))
 
 
@@ -77,11 +89,11 @@ def found(docs: DataFrame) -> DataFrame:
     """doc_id, h (hash of the text), copies, kind, start, end, core, pattern, seed: a row for each base span and identifier-like
     token, and one with kind null for each distinct row of docs."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    digit = text.rlike("[0-9]")
+    digit, token = text.rlike("[0-9]"), text.rlike("[0-9@]")
     kinds = "array<struct<kind:string,i:int,gap:int,before:string,match:string>>"
     may = {"email": F.contains(text, F.lit("@")), "ip": digit, "card": digit, "phone": digit & F.contains(text, F.lit("+"))}
     arrays = [F.coalesce(_matches(text, k, p, may[k]), F.array().cast(kinds)) for k, p in PATTERNS.items()]
-    arrays.append(F.coalesce(_matches(text, SEED, CANDIDATE, digit), F.array().cast(kinds)))
+    arrays.append(F.coalesce(_matches(text, SEED, CANDIDATE, token), F.array().cast(kinds)))
     none = F.array(F.struct(*[F.lit(None).cast(t).alias(n) for n, t in (("kind", "string"), ("i", "int"), ("gap", "int"), ("before", "string"), ("match", "string"))]))
     rows = docs.select("doc_id", F.xxhash64(text).alias("h"), F.explode(F.concat(none, *arrays)).alias("m")).select("doc_id", "h", "m.*")
     rows = rows.repartition("doc_id", "h")
@@ -89,7 +101,7 @@ def found(docs: DataFrame) -> DataFrame:
     order = Window.partitionBy("doc_id", "h", "kind").orderBy("i")
     end = F.sum(F.col("gap") + F.length("match")).over(order.rowsBetween(Window.unboundedPreceding, 0))
     left = F.concat(*[F.coalesce(F.lag(c, k).over(order), F.lit("")) for k in (2, 1) for c in ("before", "match")], F.col("before"))
-    core = F.regexp_extract("match", CORE, 0)
+    core = F.regexp_extract("match", CORE, 1)
     once = once.withColumn("end", end).withColumn("left", left).withColumn("core", core)
     once = once.withColumn("start", F.col("end") - F.length("match"))
     is_token = F.col("kind") == SEED
@@ -102,7 +114,7 @@ def found(docs: DataFrame) -> DataFrame:
         F.when(is_token, inner + F.length("core")).otherwise(F.col("end")).cast("long").alias("end"),
         F.when(is_token, F.col("core")).alias("core"), pattern.alias("pattern"), valid(F.col("kind"), F.col("match")).alias("valid"),
     )
-    once = once.where(F.col("kind").isNull() | F.when(is_token, F.col("core").rlike("[0-9]")).otherwise(F.col("valid"))).drop("valid")
+    once = once.where(F.col("kind").isNull() | F.when(is_token, F.col("core").rlike("[0-9@]")).otherwise(F.col("valid"))).drop("valid")
     # what base spans cover: the furthest end before, the nearest start after
     base = ~is_token
     doc = Window.partitionBy("doc_id", "h")
@@ -132,7 +144,7 @@ def spans(docs: DataFrame, most_broadcast: int = 100_000, **bootstrap) -> DataFr
     patterns = common.staged(confident_patterns(rows, **bootstrap), "patterns")
     if patterns.count() <= most_broadcast:
         patterns = F.broadcast(patterns)
-    tokens = rows.where((F.col("kind") == SEED) & ~F.col("covered") & (F.length("core") >= 6))
+    tokens = rows.where((F.col("kind") == SEED) & ~F.col("covered"))
     more = tokens.join(patterns.select("pattern"), "pattern", "left_semi").select("doc_id", "h", "copies", F.lit(LEARNED).alias("kind"), "start", "end")
     base = rows.where(F.col("kind").isNull() | (F.col("kind") != SEED)).select("doc_id", "h", "copies", "kind", "start", "end")
     rank = F.array_position(F.lit([*KINDS, LEARNED]), F.col("kind"))
