@@ -10,12 +10,14 @@ n1 / n is the share of pairs in the training text that were seen once, over the
 as its first history and closes with an end token.
 
 The key's top bits choose a shard of the filter. Counts are summed in each task over a million tokens, sent to their shards as
-sorted runs, summed and written into the shard's bits; the number of shards follows the text's size, so a shard stays small.
-While the measured size of all shards is within most_bytes they are broadcast. Beyond it, batches of documents send the keys
-they need to the shards and get the counts back, so nothing grows with the corpus on any machine; the scores are the same.
-
-Tokens are told apart by 64-bit hashes. Null and empty texts hold the end token alone. Repeated rows count each in training
-and are each scored. Rows without a doc_id are trained on and not held out. With nothing to train on every probability is 1.
+sorted runs, summed and written into the shard's bits; the number of shards follows the text's size, so a shard stays small,
+while a task may have many. Of a large corpus the runs go to their shards in steps of STEP bits, summed again at each, so that
+a run is never cut at more than 2^STEP borders. While the measured size of all shards is within most_bytes they are broadcast.
+Beyond it, batches of documents send the keys they need to the shards, which answer one request after the other, so nothing
+grows with the corpus on any machine; the scores are the same.
+
+Tokens are told apart by 64-bit hashes. Null and empty texts hold the end token alone. Very long texts are scored whole.
+Repeated rows count each in training and are each scored. Rows without a doc_id are trained on and not held out. With nothing to train on every probability is 1.
 An empty table gives an empty result. Extra columns are not read.
 """
 
@@ -39,6 +41,7 @@ shipped(__name__)
 END, START = (np.uint64(xxhash.xxh3_64_intdigest(b" end")), np.uint64(xxhash.xxh3_64_intdigest(b" start")))
 QUANTUM, TOP = 1.5, 64
 BITS_PER_ENTRY, PROBE_BITS = 8, 4
+STEP = 11
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 #: Least count of each level, and the count that it stands for.
 LEAST = np.array([QUANTUM**j for j in range(TOP)])
@@ -168,25 +171,32 @@ def in_chunks(batch: pa.RecordBatch, most: int = 2_000_000) -> Iterator[pa.Recor
         yield batch.slice(start)
 
 
+RUN = pa.schema([("part", pa.int32()), ("order", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+
+
+def cut(sums: list[tuple[int, np.ndarray, np.ndarray]], bits: int) -> pa.RecordBatch:
+    """Sorted runs (order, keys, counts) cut where the first bits of the keys change: part, order, keys, counts."""
+    rows = []
+    for order, keys, n in sums:
+        n = n.astype(np.uint32 if n.max(initial=0) < 1 << 32 else np.uint64)
+        parts = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+        starts = np.flatnonzero(np.append(True, parts[1:] != parts[:-1]))[: len(keys)].tolist()
+        rows += [(int(parts[a]), order, keys[a:b].tobytes(), n[a:b].tobytes()) for a, b in zip(starts, [*starts[1:], len(keys)])]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 4, RUN.types)], schema=RUN)
+
+
 def counted(training: DataFrame, bits: int, chunk: int = 1_000_000) -> DataFrame:
-    """shard, order, keys and counts: sorted runs of the n-grams of a chunk of tokens, cut at the shards' borders."""
-    shift = 64 - bits
+    """part, order, keys and counts: sorted runs of the n-grams of a chunk of tokens, cut by the first bits of the keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
-        borders = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(shift) if bits else np.empty(0, np.uint64)
         held: list[np.ndarray] = []
 
         def out(each: list[np.ndarray]) -> pa.RecordBatch:
             h = np.concatenate(each)
             before = np.concatenate([[START], h[:-1]])
             before[np.cumsum([0, *map(len, each[:-1])])] = START
-            rows = []
-            for order, all_ in ((1, single_keys(h)), (2, pair_keys(before, h))):
-                keys, n = summed(all_)
-                cuts = [0, *np.searchsorted(keys, borders).tolist(), len(keys)]
-                rows += [(k, order, keys[a:b].tobytes(), n[a:b].astype(np.uint32).tobytes()) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["shard", "order", "keys", "counts"])
+            return cut([(1, *summed(single_keys(h))), (2, *summed(pair_keys(before, h)))], bits)
 
         size = 0
         for batch in batches:
@@ -200,13 +210,49 @@ def counted(training: DataFrame, bits: int, chunk: int = 1_000_000) -> DataFrame
         if held:
             yield out(held)
 
-    return training.select("text").mapInArrow(run, "shard int, order int, keys binary, counts binary")
+    return training.select("text").mapInArrow(run, "part int, order int, keys binary, counts binary")
+
+
+def _run(keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(keys, np.uint64), np.frombuffer(counts, np.uint64 if len(counts) == len(keys) else np.uint32)
+
+
+def dealt(runs: DataFrame, bits: int, tasks: int) -> DataFrame:
+    """Runs of one part in one task, in order of parts; neighbouring parts share a task where there are more parts than tasks (a
+    power of two)."""
+    return runs.repartitionById(min(1 << bits, tasks), F.expr(f"cast(part >> {max(0, bits - tasks.bit_length() + 1)} as int)")).sortWithinPartitions("part")
+
+
+def recut(runs: DataFrame, bits: int, finer: int, tasks: int, chunk: int = 4_000_000) -> DataFrame:
+    """Runs cut by the first finer bits, summed over a chunk of keys; each task holds one chunk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held, size = None, {1: [], 2: []}, 0
+        for batch in batches:
+            for k, order, keys, n in zip(*(batch.column(c).to_pylist() for c in RUN.names)):
+                if k != part or size >= chunk:
+                    if size:
+                        yield cut([(o, *_joined(p)) for o, p in held.items()], finer)
+                    part, held, size = k, {1: [], 2: []}, 0
+                held[order].append(_run(keys, n))
+                size += len(held[order][-1][0])
+        if size:
+            yield cut([(o, *_joined(p)) for o, p in held.items()], finer)
+
+    return dealt(runs, bits, tasks).mapInArrow(run, "part int, order int, keys binary, counts binary")
+
+
+def _joined(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Runs summed into one."""
+    if not parts:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    return summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]).astype(np.int64))
 
 
 MODEL = "shard int, filter binary, words binary, word_counts binary, tokens long, types long, pairs long, once long"
 
 
-def shards(runs: DataFrame, bits: int) -> DataFrame:
+def shards(runs: DataFrame, bits: int, tasks: int) -> DataFrame:
     """The model's shards: bits of the filter, exact counts of tokens, and what the totals are summed from."""
     names = [x.split()[0] for x in MODEL.split(", ")]
 
@@ -214,31 +260,32 @@ def shards(runs: DataFrame, bits: int) -> DataFrame:
         shard, held = None, {1: [], 2: []}
 
         def out() -> pa.RecordBatch:
-            sums = {}
-            for order, parts in held.items():
-                sums[order] = summed(np.concatenate([p[0] for p in parts] or [np.empty(0, np.uint64)]), np.concatenate([p[1] for p in parts] or [np.empty(0, np.int64)]))
-            (w, n), (g, m) = sums[1], sums[2]
+            (w, n), (g, m) = (_joined(held[order]) for order in (1, 2))
             row = (shard, filter_of(np.concatenate([w, g]), np.concatenate([n, m])).tobytes(), w.tobytes(), n.astype(np.int64).tobytes(), int(n.sum()), len(w), int(m.sum()), int((m == 1).sum()))
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.binary(), pa.binary(), pa.binary(), *[pa.int64()] * 4))], names=names)
 
         for batch in batches:
-            for k, order, keys, n in zip(*(batch.column(c).to_pylist() for c in ("shard", "order", "keys", "counts"))):
+            for k, order, keys, n in zip(*(batch.column(c).to_pylist() for c in RUN.names)):
                 if k != shard:
                     if shard is not None:
                         yield out()
                     shard, held = k, {1: [], 2: []}
-                held[order].append((np.frombuffer(keys, np.uint64), np.frombuffer(n, np.uint32).astype(np.int64)))
+                held[order].append(_run(keys, n))
         if shard is not None:
             yield out()
 
-    return runs.repartition(max(1, 1 << bits), "shard").sortWithinPartitions("shard").mapInArrow(run, MODEL)
+    return dealt(runs, bits, tasks).mapInArrow(run, MODEL)
 
 
-def trained(training: DataFrame, tokens_per_shard: int = 1_500_000) -> tuple[DataFrame, dict]:
+def trained(training: DataFrame, tokens_per_shard: int = 1_500_000, most_tasks: int = 8192, step: int = STEP) -> tuple[DataFrame, dict]:
     """The staged shards and the totals: tokens, types, pairs, once, texts, bits (of the shard's number) and bytes."""
     size = training.agg(F.count(F.lit(1)).alias("texts"), F.sum(F.octet_length("text")).alias("bytes")).first()
     bits = max(0, math.ceil(math.log2(max(1, (size["bytes"] or 0) / 6 / tokens_per_shard))))
-    model = staged(shards(counted(training, bits), bits), "lm")
+    at = min(bits, step)
+    runs = counted(training, at)
+    while at < bits:
+        runs, at = recut(runs, at, min(bits, at + step), most_tasks), min(bits, at + step)
+    model = staged(shards(runs, bits, most_tasks), "lm")
     total = lambda c: F.coalesce(F.sum(c), F.lit(0))
     sums = [total(c).alias(c) for c in ("tokens", "types", "pairs", "once")] + [total(F.length("filter")).alias("filter")]
     totals = model.agg(*sums, total(F.length("filter") + F.length("words") + F.length("word_counts")).alias("bytes")).first()
@@ -287,41 +334,44 @@ def scored(docs: DataFrame, model: DataFrame, totals: dict, history_prior: float
     return docs.mapInArrow(run, schema)
 
 
-def _routed(docs: DataFrame, model: DataFrame, totals: dict, history_prior: float, batch_rows: int, schema: str) -> DataFrame:
-    shift, bits = 64 - totals["bits"], totals["bits"]
+def _routed(docs: DataFrame, model: DataFrame, totals: dict, history_prior: float, batch_rows: int, schema: str, most_tasks: int = 8192) -> DataFrame:
+    bits = totals["bits"]
     n = max(1, -(-docs.count() // batch_rows))
     docs = docs.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
-        borders = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(shift) if bits else np.empty(0, np.uint64)
         for batch in batches:
             of = batch.column("batch").to_pylist()
             keys: dict[int, list] = {}
             for b, x in zip(of, texts_of(batch)):
                 h = tokens(x, words)
                 keys.setdefault(b, []).append(np.concatenate([single_keys(h), pair_keys(np.concatenate([[START], h[:-1]]), h)]))
-            rows = []
             for b, parts in keys.items():
                 k = np.unique(np.concatenate(parts))
-                cuts = [0, *np.searchsorted(k, borders).tolist(), len(k)]
-                rows += [(b, s, k[x:y].tobytes()) for s, (x, y) in enumerate(zip(cuts, cuts[1:])) if y > x]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.binary()))], names=["batch", "shard", "keys"])
-
-    def answer(asked: pa.Table, held: pa.Table) -> pa.Table:
-        row = held.to_pylist()[0] if held.num_rows else {"filter": bytes(8), "words": b"", "word_counts": b""}
-        part = np.frombuffer(row["filter"], np.uint64)
-        counts = Counts(part, np.zeros(1, np.int64), np.array([len(part)], np.uint64), 64, np.frombuffer(row["words"], np.uint64), np.frombuffer(row["word_counts"], np.int64))
-        made = []
-        for x in asked.column("keys").to_pylist():
-            k = np.frombuffer(x, np.uint64)
-            exact = np.zeros(len(k), np.int64)
-            if len(counts.words):
-                at = np.minimum(np.searchsorted(counts.words, k), len(counts.words) - 1)
-                exact = np.where(counts.words[at] == k, counts.word_counts[at], 0)
-            made.append((counts.levels(k).astype(np.uint8).tobytes(), exact.tobytes()))
-        return pa.table([asked.column("batch"), asked.column("keys"), pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.binary())], names=["batch", "keys", "levels", "exact"])
+                made = cut([(1, k, np.empty(0, np.uint64))], bits)
+                yield pa.RecordBatch.from_arrays([made.column("part"), pa.array([b] * made.num_rows, pa.int64()), made.column("keys")], names=["shard", "batch", "keys"])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A shard's row comes first (its batch is null), then its requests, one at a time."""
+        shard = counts = None
+        nothing = Counts(np.zeros(1, np.uint64), np.zeros(1, np.int64), np.ones(1, np.uint64), 64, np.empty(0, np.uint64), np.empty(0, np.int64))
+        for held in batches:
+            for at in range(0, held.num_rows, 64):
+                made = []
+                for r in held.slice(at, 64).to_pylist():
+                    if r["batch"] is None:
+                        part = np.frombuffer(r["filter"], np.uint64)
+                        shard, counts = r["shard"], Counts(part, np.zeros(1, np.int64), np.array([len(part)], np.uint64), 64, np.frombuffer(r["words"], np.uint64), np.frombuffer(r["word_counts"], np.int64))
+                        continue
+                    model, k = counts if r["shard"] == shard else nothing, np.frombuffer(r["keys"], np.uint64)
+                    exact = np.zeros(len(k), np.int64)
+                    if len(model.words):
+                        place = np.minimum(np.searchsorted(model.words, k), len(model.words) - 1)
+                        exact = np.where(model.words[place] == k, model.word_counts[place], 0)
+                    made.append((r["batch"], r["keys"], model.levels(k).astype(np.uint8).tobytes(), exact.tobytes()))
+                if made:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made), (pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["batch", "keys", "levels", "exact"])
 
     def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
         join = lambda c, t: np.frombuffer(b"".join(answers.column(c).to_pylist()), t)
@@ -331,8 +381,11 @@ def _routed(docs: DataFrame, model: DataFrame, totals: dict, history_prior: floa
         parts = [_rows(p, scores(texts_of(p), words, model, totals, history_prior)) for b in texts.to_batches() if b.num_rows for p in in_chunks(b)]
         return pa.Table.from_batches(parts) if parts else pa.table({"doc_id": texts.column("doc_id"), **{n: pa.array([], t) for n, t in FIELDS}})
 
-    asked = docs.select("batch", "text").mapInArrow(ask, "batch long, shard int, keys binary")
-    answers = asked.groupBy("shard").cogroup(model.select("shard", "filter", "words", "word_counts").groupBy("shard")).applyInArrow(answer, "batch long, keys binary, levels binary, exact binary")
+    asked = docs.select("batch", "text").mapInArrow(ask, "shard int, batch long, keys binary")
+    held = model.select("shard", "filter", "words", "word_counts").unionByName(asked, allowMissingColumns=True)
+    tasks = min(1 << bits, most_tasks)
+    held = held.repartitionById(tasks, F.expr(f"cast(shard >> {max(0, bits - tasks.bit_length() + 1)} as int)")).sortWithinPartitions("shard", F.asc_nulls_first("batch"))
+    answers = held.select("shard", "batch", "keys", "filter", "words", "word_counts").mapInArrow(answer, "batch long, keys binary, levels binary, exact binary")
     return docs.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(score, schema)
 
 
