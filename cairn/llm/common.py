@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import sys
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,6 +12,8 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import dropped, staged  # noqa: F401  for the operators
+
 #: Rows of the public vocabulary that op2, op8 and op9 read; a parameter of each of them.
 VOCABULARY = "piece_bpe_32k.model"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -31,33 +31,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    sc = spark.sparkContext
-    given = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not given:
-        sc.setCheckpointDir(given := tempfile.mkdtemp(prefix="cairn-"))
-        given = sc.getCheckpointDir()
-    return given
-
-
-def staged(df: DataFrame, what: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: its lineage ends there."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cairn-{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._cairn_path = path
-    return out
-
-
-def dropped(df: DataFrame) -> None:
-    """Delete a table that staged() wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._cairn_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def remainder(column: str, n: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
 
@@ -154,8 +127,13 @@ def near(df: DataFrame, n: int) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
+def row_key(*columns: str) -> Column:
+    """128 bits of the given columns, two hashes of 64."""
+    return F.struct(F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit("b"), *columns).alias("b"))
+
+
 def without(docs: DataFrame, key: Column, dropped_keys: DataFrame) -> DataFrame:
-    """docs without the rows whose key is in dropped_keys (a staged table of one column)."""
-    name = "__cairn_key"
-    gone = dropped_keys.toDF(name)
-    return docs.withColumn(f"{name}_own", key).join(near(gone, gone.count()), F.col(f"{name}_own").eqNullSafe(F.col(name)), "left_anti").drop(f"{name}_own")
+    """docs without the rows whose key (a row_key) is in dropped_keys (a staged table of one column)."""
+    own, gone = "__cairn_own", dropped_keys.toDF("__cairn_gone")
+    on = [F.col(f"{own}.{c}") == F.col(f"__cairn_gone.{c}") for c in "ab"]
+    return docs.withColumn(own, key).join(near(gone, gone.count()), on, "left_anti").drop(own)

@@ -8,19 +8,19 @@ from pyspark.sql import functions as F
 from .common import dropped, staged
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """node and component (the smallest node reachable) of each node in links (a, b). The links stay distributed; each round
-    is written to the shared folder, and the rounds end when no link changes."""
+    is written to the shared folder. The rounds end when no link changes, as they do after about the square of the logarithm of
+    the number of nodes; there is no cap. No links, null nodes aside, give an empty result; repeated links count once."""
     links = links.where("a <> b").select("a", "b")
     now = staged(_once(links), "links")
-    for _ in range(most_rounds):
-        large = _star(now, larger=True)
-        then = staged(_star(large, larger=False), "links")
-        same = then.exceptAll(now).isEmpty() and now.exceptAll(then).isEmpty()
+    same = False
+    while not same:
+        then = staged(_star(_star(now, larger=True), larger=False), "links")
+        # both are sets of links: the same number, and none that is new
+        same = then.count() == now.count() and then.join(now, ["a", "b"], "left_anti").isEmpty()
         dropped(now)
         now = then
-        if same:
-            break
     out = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return out.unionByName(out.select(F.col("component").alias("node"), "component").distinct())
 

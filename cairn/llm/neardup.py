@@ -5,16 +5,18 @@ kept, so 64 functions give 128 values, each pair of sets agreeing in each with a
 five values make buckets. Equal sets are one class from the start, so copies never meet in a bucket.
 
 Links are confirmed on the full sets. In each bucket one class is the pivot and all others are compared with it; what is then
-in one component needs no further comparison. Where a bucket still holds several components, its members are compared across
-them, block by block, by their 128 values, and pairs that may reach the threshold are confirmed in the same way. No cap is
-set on buckets or partners. With 25 bands of five, a pair at similarity 0.85 shares no bucket with a chance of 4e-7. Thresholds
-below 0.85 take 32 bands of four and a wider margin before the full sets: at 0.8 the chances are 5e-8 and 8e-8.
-
-Classes are 64-bit hashes of the sets. Null and empty texts and texts without words have an empty set and link to nothing.
-Fewer than five words: the whole sequence is the one shingle. Repeated rows belong to one class and are each returned; rows
-that share only a doc_id are kept apart by their sets. Rows with a null doc_id take part, but give no component its id; a
-component of such rows alone has a null id and its rows are kept. An empty table gives an empty result. Extra columns are not
-read.
+in one component needs no further comparison. Buckets of more than a block that still hold several components get further
+pivots, each compared with all members of other components, as long as that finds links. Where a bucket then still holds
+several components, its members are compared across them, block by block, by their 128 values, and pairs that may reach the
+threshold are confirmed in the same way. No cap is set on buckets or partners. With 25 bands of five, a pair at similarity 0.85
+shares no bucket with a chance of 4e-7, and its values agree in less than 0.65 with one of 1e-8, when the full sets are not
+looked at. Thresholds below 0.85 take 32 bands of four: at 0.8 the chances are 5e-8 and 8e-8.
+
+Classes are told apart by 128-bit hashes of the sets of 64-bit shingles. Null and empty texts and texts without words have an
+empty set and link to nothing. Fewer than five words: the whole sequence is the one shingle. Very long texts are read whole.
+Repeated rows belong to one class and are each returned; rows that share only a doc_id are kept apart by their sets. Rows with a
+null doc_id take part, but give no component its id; a component of such rows alone has a null id and its rows are kept. Ties
+have no say: a component's id is its smallest. An empty table gives an empty result. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -40,7 +42,7 @@ FACTORS = _draw.integers(0, 2**63, FUNCTIONS, np.uint64) * np.uint64(2) + np.uin
 
 def banded(percent: int) -> tuple[int, int, float]:
     """Values a band, bands, and the margin: pairs whose 128 values agree in a share below percent / 100 - margin are not confirmed."""
-    return (5, 25, 0.15) if percent >= 85 else (4, 32, 0.2)
+    return (5, 25, 0.2) if percent >= 85 else (4, 32, 0.2)
 
 
 def shingle_set(text: bytes | None, words: WordHashes) -> np.ndarray:
@@ -52,11 +54,11 @@ def shingle_set(text: bytes | None, words: WordHashes) -> np.ndarray:
     return np.unique(windows(h, min(SHINGLE, len(h))))
 
 
-def class_of(s: np.ndarray) -> int:
-    """A signed 64-bit hash of a set."""
+def class_of(s: np.ndarray) -> bytes:
+    """A 128-bit hash of a set; nothing for the empty one."""
     import xxhash
 
-    return int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64)) if len(s) else 0
+    return xxhash.xxh3_128_digest(s.tobytes()) if len(s) else b""
 
 
 def min_max(s: np.ndarray) -> np.ndarray:
@@ -81,7 +83,7 @@ def signature(s: np.ndarray, percent: int) -> tuple[list[int], bytes]:
 
 
 def signatures(docs: DataFrame, percent: int) -> DataFrame:
-    """doc_id, n_shingles, cls (0: empty set), keys and sketch of each row."""
+    """doc_id, n_shingles, h (of the set), keys and sketch of each row."""
 
     def make():
         words = WordHashes()
@@ -95,7 +97,7 @@ def signatures(docs: DataFrame, percent: int) -> DataFrame:
 
         return of
 
-    return common.rows_mapped(docs, make, "n_shingles long, cls long, keys array<long>, sketch binary")
+    return common.rows_mapped(docs, make, "n_shingles long, h binary, keys array<long>, sketch binary")
 
 
 def scored(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -117,21 +119,22 @@ def scored(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, share double")
 
 
-def full_sets(involved: DataFrame, docs: DataFrame, member: DataFrame) -> DataFrame:
+def full_sets(involved: DataFrame, classes: DataFrame, docs: DataFrame, member: DataFrame) -> DataFrame:
     """cls and set (the sorted hashes) of the classes in involved, a staged table; staged. member: doc_id and cls of each row."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id"))["doc_id"]
-    chosen = staged(member.join(near(involved, n := involved.count()), "cls", "left_semi").groupBy("cls").agg(first.alias("doc_id")), "chosen")
+    n = involved.count()
+    chosen = staged(member.join(near(involved, n), "cls", "left_semi").groupBy("cls").agg(first.alias("doc_id")).join(classes.select("cls", "h"), "cls"), "chosen")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 made = [shingle_set(x, words) for x in texts_of(batch.slice(at, 200))]
-                yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in made], pa.int64()), pa.array([s.tobytes() for s in made], pa.binary())], names=["cls", "set"])
+                yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in made], pa.binary()), pa.array([s.tobytes() for s in made], pa.binary())], names=["h", "set"])
 
-    ids = chosen.select(F.col("doc_id").alias("_id"))
+    ids = chosen.select(F.col("doc_id").alias("_id")).distinct()
     texts = docs.select("doc_id", "text").join(near(ids, n), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    found = texts.mapInArrow(sets, "cls long, set binary").join(near(involved, n), "cls", "left_semi")
+    found = texts.mapInArrow(sets, "h binary, set binary").join(near(chosen.select("cls", "h"), n), "h").select("cls", "set")
     out = staged(found.dropDuplicates(["cls"]), "sets")
     dropped(chosen)
     return out
@@ -143,10 +146,10 @@ def reaches(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (len(both) - shared)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, member: DataFrame, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, member: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach percent."""
     involved = staged(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "involved")
-    full = full_sets(involved, docs, member)
+    full = full_sets(involved, classes, docs, member)
     side = lambda c: full.select(F.col("cls").alias(c), F.col("set").alias(f"s{c}"))
     both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
 
@@ -156,11 +159,26 @@ def confirmed(pairs: DataFrame, docs: DataFrame, member: DataFrame, percent: int
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
     out = staged(both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long"), "links")
-    for x in (involved, full):
-        dropped(x)
+    dropped(involved, full)
     return out
 
 
+def undecided(members: DataFrame, component: DataFrame) -> DataFrame:
+    """Members of buckets that hold several components, with theirs; staged."""
+    known = component.select(F.col("node").alias("cls"), "component")
+    m = members.join(known, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    several = m.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    return staged(m.join(several, "key", "left_semi").select("key", "cls", "c", "component"), "undecided")
+
+
+def star(members: DataFrame, draw: int) -> DataFrame:
+    """Pairs (a, b) of each bucket's pivot, drawn by a hash, and its members of other components (all, where none is known)."""
+    least = F.min(F.struct(F.xxhash64("cls", "key", F.lit(draw)), "cls", "component"))
+    pivots = members.groupBy("key").agg(least.alias("p")).select("key", F.col("p.cls").alias("pivot"), F.col("p.component").alias("its"))
+    pairs = members.join(pivots, "key").where("cls <> pivot and component <> its")
+    return pairs.select(F.least("pivot", "cls").alias("a"), F.greatest("pivot", "cls").alias("b")).distinct()
+
+
 def across(members: DataFrame, component: DataFrame, classes: DataFrame, docs: DataFrame, of_row: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between components that share a bucket. members: key, cls, c (the bucket's size); component: node, component.
 
@@ -168,16 +186,12 @@ def across(members: DataFrame, component: DataFrame, classes: DataFrame, docs: D
     possible partner at all; a second compares these on their full sets where they lie. What leaves a task is at most one row
     for each class in it: a link only where the two are not yet connected there. A pair is compared in the first band that
     it shares and in no other."""
-    known = component.select(F.col("node").alias("cls"), "component")
-    m = members.join(known, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    several = m.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    m = staged(m.join(several, "key", "left_semi").select("key", "cls", "c", "component"), "mixed")
+    m = undecided(members, component)
     values = classes.select("cls", "n_shingles", "sketch", "keys")
     possible = staged(_dealt(m.join(values, "cls"), []).mapInArrow(_compared(percent, exact=False), "cls long").distinct(), "possible")
-    full = full_sets(possible, docs, of_row)
+    full = full_sets(possible, classes, docs, of_row)
     out = staged(_dealt(m.join(values, "cls").join(full, "cls"), ["set"]).mapInArrow(_compared(percent, exact=True), "a long, b long").distinct(), "across")
-    for x in (m, possible, full):
-        dropped(x)
+    dropped(m, possible, full)
     return out
 
 
@@ -260,22 +274,33 @@ def classes_linked(docs: DataFrame, percent: int = 85) -> tuple[DataFrame, DataF
     docs = docs.select("doc_id", "text")
     signed = staged(signatures(docs, percent), "signatures")
     full = signed.where("n_shingles > 0")
-    classes = staged(full.groupBy("cls").agg(*[F.first(c).alias(c) for c in ("n_shingles", "keys", "sketch")]), "classes")
+    # a class has a number of its own, so no two sets share one
+    classes = full.groupBy("h").agg(*[F.first(c).alias(c) for c in ("n_shingles", "keys", "sketch")])
+    classes = staged(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
+    of_row = staged(full.select("doc_id", "h").join(classes.select("h", "cls"), "h").select("doc_id", "cls"), "members")
     rows = classes.select("cls", F.explode("keys").alias("key"))
-    pivot = F.min(F.struct(F.xxhash64("cls", "key"), "cls"))["cls"].alias("pivot")
-    buckets = staged(rows.groupBy("key").agg(F.count(F.lit(1)).alias("c"), pivot).where("c > 1"), "buckets")
-    members = staged(rows.join(near(buckets, buckets.count()), "key"), "members")
-    of_row = full.select("doc_id", "cls")
-    star = members.where("cls <> pivot").select(F.least("pivot", "cls").alias("a"), F.greatest("pivot", "cls").alias("b")).distinct()
-    first = staged(scored(star, classes, percent), "star")
-    links = confirmed(first, docs, of_row, percent)
-    found = staged(components(links), "components")
+    buckets = staged(rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "buckets")
+    members = staged(rows.join(near(buckets, buckets.count()), "key"), "buckets")
+    first = staged(scored(star(members.withColumn("component", F.col("cls")), 0), classes, percent), "star")
+    links = confirmed(first, classes, docs, of_row, percent)
+    found, draw = staged(components(links), "components"), 0
+    while True:
+        # buckets of several blocks: further pivots while they find links
+        large = undecided(members.where(F.col("c") > BLOCK), found)
+        draw += 1
+        pairs = staged(scored(star(large, draw), classes, percent), "star")
+        more = confirmed(pairs, classes, docs, of_row, percent) if not pairs.isEmpty() else pairs
+        dropped(large)
+        if more.isEmpty():
+            break
+        links = links.unionByName(more)
+        found = staged(components(links), "components")
     more = across(members, found, classes, docs, of_row, percent)
     if not more.isEmpty():
         found = staged(components(links.unionByName(more)), "components")
-    out = staged(signed.select("doc_id", "n_shingles", "cls"), "rows")
-    for x in (signed, classes, buckets, members, first, more):
-        dropped(x)
+    out = signed.select("doc_id", "n_shingles", "h").join(classes.select("h", "cls"), "h", "left").select("doc_id", "n_shingles", "cls")
+    out = staged(out, "rows")
+    dropped(signed, classes, buckets, members, first, more, of_row)
     return out, found
 
 

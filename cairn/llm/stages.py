@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import langid, neardup, packing, pii, quality
-from .common import near, rows_filtered, shipped, staged, vocabulary_bytes, without
+from .common import near, row_key, rows_filtered, shipped, staged, vocabulary_bytes, without
 
 shipped(__name__)
 
@@ -33,7 +33,7 @@ def language(spark, docs: DataFrame, sf_dir: str, least_score: float = 0.5) -> D
 
 def quality_rules(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that fail the base rule or lie too far from their language and source."""
-    key = F.xxhash64("doc_id", "text", "lang", "source")
+    key = row_key("doc_id", "text", "lang", "source")
     verdicts = quality.judged(docs.select(key.alias("doc_id"), "text", "lang", "source"))
     return without(docs, key, staged(verdicts.where("not kept").select("doc_id").distinct(), "rejected"))
 
@@ -41,7 +41,7 @@ def quality_rules(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark, docs: DataFrame, sf_dir: str, percent: int = 85) -> DataFrame:
     """Keeps the document with the smallest doc_id of each group, and of equal rows one. percent: the least similarity of a
     link; 85 is op4's, the pipeline has its own."""
-    key = F.xxhash64("doc_id", "text")
+    key = row_key("doc_id", "text")
     judged = neardup.deduplicated(docs.select(F.struct("doc_id", key.alias("key")).alias("doc_id"), "text"), percent)
     judged = staged(judged.groupBy(F.col("doc_id.key").alias("key"), "kept").agg(F.count(F.lit(1)).alias("n")), "judged")
     left = without(docs, key, judged.where("not kept").select("key"))
@@ -49,7 +49,7 @@ def near_duplicates(spark, docs: DataFrame, sf_dir: str, percent: int = 85) -> D
     if not (n := again.count()):
         return left
     keyed = left.withColumn("__cairn_key", key)
-    on = F.col("__cairn_key") == F.col("__cairn_again")
+    on = [F.col(f"__cairn_key.{c}") == F.col(f"__cairn_again.{c}") for c in "ab"]
     once = keyed.join(near(again, n), on, "left_semi").dropDuplicates(["__cairn_key"])
     return keyed.join(near(again, n), on, "left_anti").unionByName(once).drop("__cairn_key")
 
