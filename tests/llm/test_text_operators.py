@@ -199,14 +199,150 @@ def test_fingerprints(spark, documents, edge, empty):
     assert fingerprint.against_next(edge.where("doc_id is null")).count() == 1
     one = fingerprint.fingerprints(edge.where("doc_id in (0, 1)")).select("fingerprint").distinct().count()
     assert one == 1
+    with pytest.raises(ValueError):
+        fingerprint.against_next(documents.withColumn("doc_id", F.col("doc_id").cast("string")))
+
+
+def test_hot_and_null_ids_are_walked_in_order(spark):
+    """Half of the rows have one id, some none: every row is followed by the next in order, whatever the ranges."""
+    rows = [(k, f"text {k}") for k in range(200)] + [(77, f"hot {k}") for k in range(300)] + [(None, f"none {k}") for k in range(100)] + [(77, "same"), (77, "same")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = Counter((r["doc_id"], r["fingerprint"], r["edited_sha256"]) for r in fingerprint.against_next(df, rows_per_range=7).collect())
+    hashed = [tuple(r) for r in df.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()]
+    ordered = sorted(hashed, key=lambda r: (fingerprint.LEAST if r[0] is None else r[0], r[2], r[1]))
+    f, want = fingerprint.Fingerprints(), Counter()
+    for k, (i, x, _) in enumerate(ordered):
+        cut = len(x) // 4
+        edited = x[: len(x) - cut] + ordered[(k + 1) % len(ordered)][1][:cut]
+        want[i, fingerprint.written(f.tree(x.encode())), hashlib.sha256(edited.encode()).hexdigest()] += 1
+    assert got == want
+
+
+def plain_tree(text, most=32):
+    """root, level, sections as lists of (paragraph node, leaves), by plain Python."""
+    import xxhash
+
+    mask = (1 << 64) - 1
+
+    def mix(x):
+        x ^= x >> 33
+        x = x * 0xFF51AFD7ED558CCD & mask
+        x ^= x >> 33
+        x = x * 0xC4CEB9FE1A85EC53 & mask
+        return x ^ x >> 33
+
+    def sha(x):
+        return hashlib.sha256(x).digest()
+
+    lines = text.split(b"\n")
+    leaves = []
+    for line in lines:
+        hs = [mix(xxhash.xxh3_64_intdigest(w)) for w in line.split()]
+        leaves.append([(h >> 38, min(20, (h & -h).bit_length() - 1)) for h in hs])
+    bound, level = most + sum(map(bool, leaves)), 0
+    up = lambda now, level: [merge(x, level) for x in now]
+
+    def merge(x, level):
+        out, run = [], []
+        for d, r in x:
+            run.append(mix(d + len(run) * 0x9E3779B97F4A7C15 + level & mask))
+            last = r
+            if r >= level:
+                out.append((mix(sum(run) & mask) >> 38, r))
+                run = []
+        if run:
+            out.append((mix(sum(run) & mask) >> 38, last))
+        return out
+
+    while sum(map(len, leaves)) > bound and level < 20:
+        level += 1
+        leaves = up(leaves, level)
+    sections = []
+    for k, line in enumerate(lines):
+        if not k or bool(line.split()) != bool(lines[k - 1].split()):
+            sections.append([])
+        sections[-1].append(k)
+    root = sha(b"".join(sha(b"".join(sha(lines[k]) for k in s)) for s in sections)).hex()
+    nodes = [int.from_bytes(sha(line)[:4], "little") & 0x3FFFFFFF for line in lines]
+    return {"root": root, "level": level, "nodes": nodes, "sections": sections, "leaves": leaves, "raise": up}
+
+
+def plain_likeness(a, b):
+    if a["root"] == b["root"]:
+        return 1.0
+    level = max(a["level"], b["level"])
+    trees = []
+    for t in (a, b):
+        leaves = t["leaves"]
+        for k in range(t["level"] + 1, level + 1):
+            leaves = t["raise"](leaves, k)
+        trees.append((t["nodes"], t["sections"], leaves))
+    size = sum(len(n) + sum(map(len, x)) for n, _, x in trees)
+    named = lambda n, s: tuple(n[k] for k in s)
+    common = Counter(named(trees[0][0], s) for s in trees[0][1]) & Counter(named(trees[1][0], s) for s in trees[1][1])
+    whole, rest = 0, []
+    for n, sections, x in trees:
+        left, mine = Counter(common), []
+        for s in sections:
+            if left[named(n, s)]:
+                left[named(n, s)] -= 1
+                whole += sum(1 + len(x[k]) for k in s)
+            else:
+                mine += s
+        rest.append(mine)
+    common = Counter(trees[0][0][k] for k in rest[0]) & Counter(trees[1][0][k] for k in rest[1])
+    parts = []
+    for (n, _, x), mine in zip(trees, rest):
+        left, bag = Counter(common), Counter()
+        for k in mine:
+            if left[n[k]]:
+                left[n[k]] -= 1
+                whole += 1 + len(x[k])
+            else:
+                bag.update(d for d, _ in x[k])
+        parts.append(bag)
+    return (whole + 2 * sum((parts[0] & parts[1]).values())) / size
+
+
+def test_trees_and_likeness_are_those_of_plain_python(documents):
+    texts = [x.encode() for x in TEXTS if x is not None] + [r["text"].encode() for r in documents.limit(40).collect()]
+    f = fingerprint.Fingerprints()
+    made, plain = [f.tree(x) for x in texts], [plain_tree(x) for x in texts]
+    for t, p in zip(made, plain):
+        back = fingerprint.parsed(fingerprint.written(t))
+        for x in (t, back):
+            assert (x.root, x.level, x.nodes.tolist(), np.flatnonzero(x.first).tolist()) == (p["root"], p["level"], p["nodes"], [s[0] for s in p["sections"]])
+            assert list(zip(x.digest.tolist(), x.rank.tolist(), x.of.tolist())) == [(d, r, k) for k, leaves in enumerate(p["leaves"]) for d, r in leaves]
+    rnd = random.Random(4)
+    for _ in range(400):
+        i, j = rnd.randrange(len(texts)), rnd.randrange(len(texts))
+        assert fingerprint.likeness(made[i], made[j]) == pytest.approx(plain_likeness(plain[i], plain[j]))
+    for _ in range(60):  # edited copies
+        x = rnd.choice(texts[-40:])
+        lines = x.split(b"\n")
+        lines[rnd.randrange(len(lines))] += b" more"
+        a, b = f.tree(x), f.tree(b"\n".join(lines))
+        assert fingerprint.likeness(a, b) == pytest.approx(plain_likeness(plain_tree(x), plain_tree(b"\n".join(lines))))
 
 
 def test_differing_branches_locate_edits():
     a = [f"line {k}" if k % 5 else "" for k in range(40)]
     b = [*a[:17], "changed", "and new", *a[18:]]
-    text = lambda x: "\n".join(x).encode()
-    assert fingerprint.locate(text(a), text(a)) == [] and fingerprint.locate(text(a), text(b)) == [(17, 18, 17, 19)]
-    assert fingerprint.locate(b"", b"x") != []
+    f = fingerprint.Fingerprints()
+    text = lambda x: fingerprint.written(f.tree("\n".join(x).encode()))
+    assert fingerprint.locate(text(a), text(a)) is None and fingerprint.locate(text(a), text(b)) == (17, 18, 17, 19)
+    assert fingerprint.locate(text([""]), text(["x"])) == (0, 1, 0, 1)
+    rnd = random.Random(8)
+    for _ in range(200):
+        x = [rnd.choice(["", "a b", "c", "d e f"]) for _ in range(rnd.randrange(1, 12))]
+        i, j = sorted(rnd.randrange(len(x) + 1) for _ in range(2))
+        y = [*x[:i], *[rnd.choice(["", "new", "d e f"]) for _ in range(rnd.randrange(3))], *x[j:]] or [""]
+        found = fingerprint.locate(text(x), text(y))
+        if x == y:
+            assert found is None
+        else:
+            p, q, r, s = found
+            assert p == r and x[:p] == y[:r] and x[q:] == y[s:] and 0 <= p <= q <= len(x) and r <= s <= len(y)
 
 
 def test_scores(spark, documents, edge, empty):
@@ -227,10 +363,58 @@ def test_scores(spark, documents, edge, empty):
     assert sum(r["score"] for r in h) > sum(r["base_score"] for r in h)
     odd = lmscore.trained(edge.select("text"))
     assert lmscore.scored(edge, *odd).count() == edge.count() and lmscore.scored(empty, *odd).count() == 0
+    stepped, its = lmscore.trained(documents.where(~held).select("text"), tokens_per_shard=1000, most_tasks=4, step=2)
+    assert its["bits"] > 4 and {k: v for k, v in its.items() if k in ("tokens", "types", "pairs", "once")} == {k: totals[k] for k in ("tokens", "types", "pairs", "once")}
+    again = {r["doc_id"]: r["score"] for r in lmscore.scored(documents, stepped, its).collect()}
+    other = {r["doc_id"]: r["score"] for r in lmscore.scored(documents, stepped, its, most_bytes=0, batch_rows=25).collect()}
+    assert all(other[i] == pytest.approx(x) for i, x in again.items())
     nothing = lmscore.trained(empty.select("text"))
     assert {r["score"] for r in lmscore.scored(edge, *nothing).collect()} == {0.0}
 
 
+class ExactCounts:
+    """What a filter without a false positive would give."""
+
+    def __init__(self, counts):
+        self.counts = counts
+
+    def levels(self, keys):
+        return np.searchsorted(lmscore.LEAST, [self.counts[k] for k in keys.tolist()], "right")
+
+    def exact(self, h):
+        return np.array([self.counts[k] for k in lmscore.single_keys(h).tolist()])
+
+
+def test_scores_are_the_interpolation(documents):
+    """score against the formula in plain Python, over counts of words themselves."""
+    texts = [r["text"] or "" for r in documents.limit(60).collect()] + TEXTS
+    split = [(x or "").encode().lower().split() + ["end"] for x in texts]
+    train = split[:40]
+    one, two = Counter(w for t in train for w in t), Counter((a, b) for t in train for a, b in zip(["start", *t], t))
+    mean = lambda c: next(((math.ceil(1.5**j) + max(math.ceil(1.5 ** (j + 1)) - 1, math.ceil(1.5**j))) / 2 for j in reversed(range(64)) if c >= 1.5**j), 0.0)
+    n, v, once, pairs = sum(one.values()), len(one), sum(c == 1 for c in two.values()), sum(two.values())
+
+    def score(t):
+        total = 0.0
+        for a, b in zip(["start", *t], t):
+            p = (mean(one[b]) + 1) / (n + v + 1)
+            history = len(train) if a == "start" else mean(one[a])
+            share = (1 - once / pairs) * history / (history + 5.0)
+            total += math.log10((share * min(mean(two[a, b]), history) / history if history else 0.0) + (1 - share) * p)
+        return total
+
+    words = lmscore.WordHashes()
+    counts = Counter()
+    for x in texts[:40]:
+        h = lmscore.tokens((x or "").encode(), words)
+        counts.update(lmscore.single_keys(h).tolist())
+        counts.update(lmscore.pair_keys(np.append([lmscore.START], h[:-1]), h).tolist())
+    totals = {"tokens": n, "types": v, "pairs": pairs, "once": once, "texts": len(train)}
+    got = lmscore.scores([None if x is None else x.encode() for x in texts], words, ExactCounts(counts), totals, 5.0)
+    for t, r in zip(split, got):
+        assert r[0] == len(t) and r[3] == pytest.approx(score(t))
+
+
 def test_counts_come_back_from_the_filter():
     rnd = np.random.default_rng(3)
     keys = np.unique(rnd.integers(0, 2**63, 20000, np.uint64) * np.uint64(2))
