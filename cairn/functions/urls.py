@@ -13,29 +13,43 @@ EXTENSIONS = {"none": "", "bzip2": "bz2", "zstd": "zst", "lzip": "lzip", "lz4":
 ENCODINGS = ["zstd", "br", "gzip"]
 
 
-def _map(pairs: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
+def _chosen(c: Column, pairs: dict[str, str]) -> Column:
+    """What c stands for; null where it is none of the pairs' names."""
+    out = F.lit(None).cast("string")
+    for name, value in pairs.items():
+        out = F.when(c == name, value).otherwise(out)
+    return out
 
 
 def compression_of(extension: Column) -> Column:
     """The compression of an extension; null where it is unknown."""
-    return F.try_element_at(_map({e: c for c, e in EXTENSIONS.items()}), extension)
+    return _chosen(extension, {e: c for c, e in EXTENSIONS.items()})
 
 
 def extension_of(compression: Column) -> Column:
-    return F.try_element_at(_map(EXTENSIONS), compression)
+    return _chosen(compression, EXTENSIONS)
+
+
+#: A path whose last part, slashes at the end aside, begins with something before its first ".nar": that, and what follows.
+FILE = r"^(?:.*/)?([^/]+?)\.nar([^/]*)/*$"
 
 
 def parsed(url: Column) -> Column:
     """struct(path, hash, compression, query), all null unless the file name is hash.nar[.extension] with a known extension;
-    the hash is not checked."""
-    path = F.split_part(url, F.lit("?"), F.lit(1))
-    query = F.when(F.contains(url, F.lit("?")), F.substr(url, F.length(path) + 2)).otherwise("")
-    file = F.element_at(F.split(F.regexp_replace(path, "/+$", ""), "/"), -1)
-    at = F.locate(".nar", file)
-    after = F.substr(file, at + 4)
-    compression = F.when(after == "", "none").when(F.startswith(after, F.lit(".")), compression_of(F.substr(after, F.lit(2))))
-    return F.when((at > 1) & compression.isNotNull(), F.struct(path.alias("path"), F.substr(file, F.lit(1), at - 1).alias("hash"), compression.alias("compression"), query.alias("query")))
+    the hash is not checked. Each part is worked out once a row: a transform over one element keeps it from being inlined."""
+
+    def whole(u: Column) -> Column:
+        cut = F.instr(u, "?")
+        path = F.when(cut > 0, F.substr(u, F.lit(1), cut - 1)).otherwise(u)
+        return F.struct(path.alias("path"), F.when(cut > 0, F.substr(u, cut + 1)).otherwise("").alias("query"))
+
+    def named(p: Column) -> Column:
+        hash, after = F.regexp_extract(p["path"], FILE, 1), F.regexp_extract(p["path"], FILE, 2)
+        compression = F.when(after == "", "none").when(F.startswith(after, F.lit(".")) & (after != "."), compression_of(F.substr(after, F.lit(2))))
+        return F.struct(p["path"].alias("path"), hash.alias("hash"), compression.alias("compression"), p["query"].alias("query"))
+
+    one = F.transform(F.transform(F.array(url), whole), named)
+    return F.get(F.filter(one, lambda x: (x["hash"] != "") & x["compression"].isNotNull()), F.lit(0))
 
 
 def parse_url(url: Column) -> Column:
@@ -67,6 +81,17 @@ def normalised_hash(hash: Column) -> Column:
     return F.when(rest.rlike(f"^{ARCHIVE_HASH}$"), rest)
 
 
+def reference(opaque_path: Column, query: Column) -> Column:
+    """A path and its query as one text; reference_parts() takes them apart."""
+    return F.concat(opaque_path, F.when(F.coalesce(query, F.lit("")) != "", F.concat(F.lit("?"), query)).otherwise(""))
+
+
+def reference_parts(text: Column) -> Column:
+    """struct(opaque_path, query) of a reference, cut at its first question mark."""
+    cut = F.instr(text, "?")
+    return F.struct(F.when(cut > 0, F.substr(text, F.lit(1), cut - 1)).otherwise(text).alias("opaque_path"), F.when(cut > 0, F.substr(text, cut + 1)).otherwise("").alias("query"))
+
+
 def written(hash: Column, compression: Column, query: Column, opaque_path: Column | None = None) -> Column:
     extension = extension_of(compression)
     path = F.concat(F.lit("nar/"), hash, F.lit(".nar"), F.when(extension != "", F.concat(F.lit("."), extension)).otherwise(""))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -76,6 +78,37 @@ def cache_info(text: Column) -> Column:
     return F.when(known & sound, F.struct(F.try_element_at(m, F.lit("StoreDir")).alias("store_dir"), (want == "1").alias("want_mass_query"), priority.try_cast("bigint").alias("priority")))
 
 
+#: Parts of the messages of transient transport errors.
+TRANSIENT = ("http2: server sent GOAWAY", "http2: timeout awaiting response headers", "connection reset by peer", "broken pipe")
+
+
+def retriable(message: Column) -> Column:
+    """Whether an error's message names a transient transport error; no message does not."""
+    hits = [F.contains(message, F.lit(x)) for x in TRANSIENT]
+    return F.coalesce(reduce(Column.__or__, hits), F.lit(False))
+
+
+def signature_name(signature: Column) -> Column:
+    """Who signed: what stands before the colon."""
+    return F.split_part(signature, F.lit(":"), F.lit(1))
+
+
+def trusted(signatures: Column, names: list[str]) -> Column:
+    """Whether any signature's name is among the trusted ones. Membership only: nothing is verified."""
+    return F.exists(F.coalesce(signatures, F.array().cast("array<string>")), lambda s: signature_name(s).isin(*names))
+
+
+def signed_by(signatures: Column, own: Column) -> Column:
+    """Signatures with those of the own key's name left out and the own one at the end."""
+    others = F.filter(F.coalesce(signatures, F.array().cast("array<string>")), lambda s: signature_name(s) != signature_name(own))
+    return F.concat(others, F.array(own))
+
+
+def canonical_trace(drv_path: Column, output_name: Column, out_path: Column) -> Column:
+    """What a build trace entry's signature signs: its JSON without the signatures, fields in a fixed order."""
+    return F.to_json(F.struct(F.struct(drv_path.alias("drvPath"), output_name.alias("outputName")).alias("key"), F.struct(out_path.alias("outPath")).alias("value")))
+
+
 def fingerprint(path: Column, hash: Column, size: Column, references: Column) -> Column:
     """What a package's signature signs."""
     return F.concat_ws(";", F.lit("1"), path, hash, size.cast("string"), F.array_join(F.array_sort(references), ","))

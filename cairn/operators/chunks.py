@@ -82,36 +82,81 @@ def line_chunked(texts: DataFrame) -> DataFrame:
     return rows.select("nar_file_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.sha2("data", 256).alias("hash"), F.octet_length("data").cast("long").alias("size"), "data")
 
 
-def _decoded(data: bytes | None, kind: str) -> bytes | None:
+def _streams(data: bytes, decoder) -> tuple[bytes, bytes]:
+    """All streams that follow one another in data, and what is left; EOFError if the last is not whole."""
+    out, rest = [], data
+    while rest:
+        d = decoder()
+        try:
+            out.append(d.decompress(rest))
+        except Exception:
+            if len(out):  # what follows a whole stream is no stream: trailing bytes
+                break
+            raise
+        if not d.eof:
+            raise EOFError
+        rest = d.unused_data.lstrip(b"\0")
+    return b"".join(out), rest
+
+
+def _lzip(data: bytes) -> bytes:
+    out = []
+    while data[:4] == b"LZIP":
+        size = 1 << (data[5] & 31)
+        size -= (size // 16) * (data[5] >> 5)
+        d = lzma.LZMADecompressor(lzma.FORMAT_RAW, filters=[{"id": lzma.FILTER_LZMA1, "dict_size": size, "lc": 3, "lp": 0, "pb": 2}])
+        out.append(d.decompress(data[6:]))
+        if not d.eof or len(d.unused_data) < 20:
+            raise EOFError
+        data = d.unused_data[20:]
+    return b"".join(out)
+
+
+#: First bytes of a stream that its decoder can start on; fixed values of the formats.
+MAGIC = {"bzip2": b"BZh", "xz": b"\xfd7zXZ\0", "zstd": b"\x28\xb5\x2f\xfd", "lzip": b"LZIP"}
+
+
+def _decoded(data: bytes | None, kind: str | None) -> tuple[bytes | None, str | None]:
     import zstandard
 
     if data is None:
-        return None
+        return None, None
+    if not kind or kind == "none":
+        return data, None
+    if kind in ("lz4", "br"):
+        return None, f"no decoder for {kind}"
+    if kind not in MAGIC:
+        return None, f"unsupported compression {kind}"
+    if not data.startswith(MAGIC[kind]):
+        return data, None
     try:
-        if kind == "bzip2":
-            return bz2.decompress(data)
-        if kind == "xz":
-            return lzma.decompress(data)
-        if kind == "zstd":
-            return zstandard.ZstdDecompressor().decompressobj().decompress(data)
         if kind == "lzip":
-            size = 1 << (data[5] & 31)
-            size -= (size // 16) * (data[5] >> 5)
-            return lzma.LZMADecompressor(lzma.FORMAT_RAW, filters=[{"id": lzma.FILTER_LZMA1, "dict_size": size, "lc": 3, "lp": 0, "pb": 2}]).decompress(data[6:-20])
-    except (OSError, EOFError, lzma.LZMAError, zstandard.ZstdError, IndexError):
-        return data
-    return data if kind == "none" else None
+            return _lzip(data), None
+        decoder = {"bzip2": bz2.BZ2Decompressor, "xz": lzma.LZMADecompressor, "zstd": lambda: zstandard.ZstdDecompressor().decompressobj()}[kind]
+        return _streams(data, decoder)[0], None
+    except EOFError:
+        return None, f"truncated {kind}"
+    except (OSError, ValueError, lzma.LZMAError, zstandard.ZstdError):
+        return None, f"corrupt {kind}"
 
 
-def decompressed(content: Column, compression: Column) -> Column:
-    """Content by its compression: none, bzip2, zstd, xz and lzip (whose body is raw LZMA). Where the decoder cannot start the
-    content stays as it is. lz4 and br need packages that are not at hand: null."""
+def decoded(content: Column, compression: Column) -> Column:
+    """struct(data, error) of content by its compression: none (or empty), bzip2, zstd, xz and lzip (whose body is raw LZMA), with
+    all streams or frames that follow one another. Content that does not begin as its format does stays as it is, as the decoder
+    cannot start. A stream that ends early or breaks, an unknown compression, and lz4 and br, whose packages are not at hand,
+    give an error and no data; null content gives neither."""
 
     def f(c, k):
-        return pd.Series([_decoded(x, y) for x, y in zip(c, k)], dtype=object)
+        rows = [_decoded(x, y) for x, y in zip(c, k)]
+        return pd.DataFrame({"data": pd.Series([r[0] for r in rows], dtype=object), "error": pd.Series([r[1] for r in rows], dtype=object)})
+
+    f.__annotations__ = {"c": pd.Series, "k": pd.Series, "return": pd.DataFrame}
+    return F.pandas_udf(f, "data binary, error string")(content, compression)
 
-    f.__annotations__ = {"c": pd.Series, "k": pd.Series, "return": pd.Series}
-    return F.pandas_udf(f, "binary")(content, compression)
+
+def decompressed(content: Column, compression: Column) -> Column:
+    """The data of decoded()."""
+    return decoded(content, compression)["data"]
 
 
 def zstd_compressed(content: Column) -> Column:
@@ -171,6 +216,87 @@ def assembled_bytes(rows: DataFrame) -> DataFrame:
     return rows.groupBy("nar_file_id").agg(whole.alias("content"))
 
 
+def assembled_digests(rows: DataFrame) -> DataFrame:
+    """nar_file_id, n, size and sha256 of each file's chunks in order. Chunks are sorted in their task and fed to the digest one
+    by one, so no file is ever whole in memory. rows: nar_file_id, chunk_index, content."""
+    kind = rows.schema["nar_file_id"].dataType.simpleString()
+    arrow = pa.schema([("n", pa.int64()), ("size", pa.int64()), ("sha256", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, n, size, digest, out = None, 0, 0, None, []
+        made = lambda t: pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], t), *(pa.array([r[k] for r in out], f.type) for k, f in enumerate(arrow, 1))], names=["nar_file_id", *arrow.names])
+        type_ = None
+        for batch in batches:
+            type_ = batch.column("nar_file_id").type
+            for id, content in zip(batch.column("nar_file_id").to_pylist(), batch.column("content")):
+                if digest is None or id != at:
+                    if digest is not None:
+                        out.append((at, n, size, digest.hexdigest()))
+                    at, n, size, digest = id, 0, 0, hashlib.sha256()
+                data = content.as_py() or b""
+                n, size = n + 1, size + len(data)
+                digest.update(data)
+            if len(out) >= 1000:
+                yield made(type_)
+                out = []
+        if digest is not None:
+            out.append((at, n, size, digest.hexdigest()))
+        if out:
+            yield made(type_)
+
+    rows = rows.select("nar_file_id", "chunk_index", "content").repartition("nar_file_id").sortWithinPartitions("nar_file_id", "chunk_index")
+    return rows.select("nar_file_id", "content").mapInArrow(run, f"nar_file_id {kind}, n long, size long, sha256 string")
+
+
+def to_chunks(files: DataFrame, chunks: DataFrame, chunk_links: DataFrame, *sizes: int) -> dict[str, DataFrame]:
+    """Archives become chunks: decoded, cut, recorded and marked complete. files: nar_file rows with content. Those chunked
+    already stay as they are, those that cannot be decoded too, and are in "failed" (id, error). The results share the cut
+    chunks, which are staged; "chunked" holds them with their content."""
+    from ..shared import staged
+
+    whole = files.where("total_chunks <= 0").withColumn("_d", decoded(F.col("content"), F.col("compression")))
+    cut = staged(chunked(whole.where("_d.error is null and _d.data is not null").select("id", F.col("_d.data").alias("content")), *sizes), "cut")
+    known, links = recorded(cut.select("nar_file_id", "chunk_index", "hash", "size"), chunks, chunk_links)
+    done = cut.groupBy(F.col("nar_file_id").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    rows = completed(files.drop("content"), done)
+    marked = rows.join(done.select("id", F.lit(True).alias("_done")), "id", "left")
+    rows = dml.update_where(marked, F.col("_done"), {"compression": F.lit("none")}).select(*rows.columns)
+    return {"nar_files": rows, "chunks": known, "nar_file_chunks": links, "chunked": cut, "failed": whole.where("_d.error is not null").select("id", "_d.error")}
+
+
+def made_whole(files: DataFrame, chunk_links: DataFrame, chunks: DataFrame, narinfos: DataFrame, links: DataFrame, outcomes: DataFrame) -> dict[str, DataFrame]:
+    """The snapshots after chunked files whose outcome is ok were written whole: no chunks to their name, uncompressed; their
+    narinfos' URLs say so; their chunk links go, and chunks that no other file has."""
+    ok = outcomes.where("outcome = 'ok'").select("id")
+    rows = dml.update_matching(files, ok, ["id"], {"total_chunks": F.lit(0), "compression": F.lit("none")})
+    plain = files.join(ok, "id", "left_semi").select(F.col("id").alias("nar_file_id"), F.concat(F.lit("nar/"), "hash", F.lit(".nar")).alias("plain"))
+    by_info = links.join(plain, "nar_file_id").groupBy(F.col("narinfo_id").alias("id")).agg(F.min_by("plain", "nar_file_id").alias("plain"))
+    infos = narinfos.join(by_info, "id", "left").withColumns({"url": F.coalesce("plain", "url"), "compression": F.when(F.col("plain").isNotNull(), "none").otherwise(F.col("compression"))}).select(*narinfos.columns)
+    _, kept, left = purged(files, chunk_links, chunks, ok)
+    return {"nar_files": rows, "narinfos": infos, "nar_file_chunks": kept, "chunks": left}
+
+
+def flushes(rows: DataFrame, key: str, order: str, most: int = 100) -> DataFrame:
+    """rows with flush, the number of the micro-batch they are recorded in: at most so many chunks of a file each."""
+    return rows.withColumn("flush", F.floor((F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1) / most).cast("long"))
+
+
+def indexed(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """rows with the index that each gets in its file's order, from 0."""
+    return rows.withColumn("chunk_index", (F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1).cast("long"))
+
+
+def links_with_chunks(chunk_links: DataFrame, chunks: DataFrame) -> DataFrame:
+    """nar_file_id, chunk_index, hash and missing of every link: one whose chunk is gone is not lost but marked."""
+    named = chunks.select(F.col("id").alias("chunk_id"), "hash")
+    return chunk_links.join(named, "chunk_id", "left").select("nar_file_id", "chunk_index", "hash", F.col("hash").isNull().alias("missing"))
+
+
+def parts_ready(parts: DataFrame, available: Column) -> DataFrame:
+    """Staged parts that may be read: those before the number that is available."""
+    return parts.where(F.col("part") < available)
+
+
 def dedup(rows: DataFrame) -> DataFrame:
     """One row: links, distinct chunks, logical and stored bytes, and their ratio."""
     each = rows.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("size"))

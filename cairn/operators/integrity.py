@@ -7,7 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.urls import parsed, written
 from ..functions.values import due, older_than
+from ..shared import staged
 from . import dml
 
 #: Ids and labels of the checks, in the report's order.
@@ -159,15 +161,76 @@ def relink_plan(narinfos: DataFrame, links: DataFrame, nar_files: DataFrame, has
     return pairs.groupBy("narinfo_id").agg(F.min_by("nar_file_id", F.struct(F.when(F.col("wanted") == F.col("has"), 0).otherwise(1), "nar_file_id")).alias("nar_file_id"))
 
 
-def repaired(tables: dict[str, DataFrame], stored: DataFrame, file_key: list[str]) -> dict[str, DataFrame]:
-    """The repair steps in order, each on what the one before left: narinfos without a file are relinked where one fits and go
-    otherwise, then files without a narinfo, files missing from storage, chunks without a file."""
+def desync(narinfos: DataFrame, links: DataFrame, nar_files: DataFrame) -> DataFrame:
+    """id, hash and query (of the archive) of narinfos that say xz, are linked but to no xz file, whose URL names no xz file, and one of
+    whose files is the one that the URL names: what can be served uncompressed."""
+    has = nar_files.select(F.col("id").alias("nar_file_id"), F.col("hash").alias("_hash"), F.col("query").alias("_query"), F.col("compression").alias("_has"))
+    linked = links.select("narinfo_id", "nar_file_id").join(has, "nar_file_id")
+    wrong = narinfos.where("compression = 'xz' and coalesce(url, '') <> ''").select(F.col("id").alias("narinfo_id"), parsed(F.col("url")).alias("p")).where("p is not null")
+    wrong = wrong.join(linked.where("_has = 'xz'").select("narinfo_id"), "narinfo_id", "left_anti")
+    backed = wrong.select("narinfo_id", F.col("p.hash").alias("_hash"), F.col("p.query").alias("_query")).join(linked.select("narinfo_id", "_hash", "_query"), ["narinfo_id", "_hash", "_query"], "left_semi")
+    named_xz = has.where("_has = 'xz'").select("_hash", "_query")
+    return backed.join(named_xz, ["_hash", "_query"], "left_anti").select(F.col("narinfo_id").alias("id"), F.col("_hash").alias("hash"), F.col("_query").alias("query"))
+
+
+def desync_repaired(narinfos: DataFrame, links: DataFrame, nar_files: DataFrame) -> DataFrame:
+    """narinfos with those of desync() written uncompressed: URL and compression; file hash and size are not known any more."""
+    fixes = desync(narinfos, links, nar_files).select("id", written(F.col("hash"), F.lit("none"), F.col("query")).alias("_url"))
+    hit = narinfos.join(fixes, "id", "left")
+    values = {"url": F.col("_url"), "compression": F.lit("none"), "file_hash": F.lit(None), "file_size": F.lit(None)}
+    return dml.update_where(hit, F.col("_url").isNotNull(), {c: v for c, v in values.items() if c in narinfos.columns}).select(*narinfos.columns)
+
+
+#: What goes with a file.
+OF_FILE = {"narinfo_nar_files": [("nar_file_id", "nar_files")], "nar_file_chunks": [("nar_file_id", "nar_files")]}
+
+
+def _without_files(t: dict[str, DataFrame], lost: DataFrame) -> dict[str, DataFrame]:
+    """Files (id) go with their links, then the narinfos that only they backed, then chunks that only they had."""
+    out = dml.cascade(t, OF_FILE, "nar_files", lost.select("id").distinct())
+    touched = t["narinfo_nar_files"].join(lost.select(F.col("id").alias("nar_file_id")), "nar_file_id", "left_semi").select(F.col("narinfo_id").alias("id")).distinct()
+    loose = touched.join(out["narinfo_nar_files"].select(F.col("narinfo_id").alias("id")), "id", "left_anti")
+    out["narinfos"] = dml.delete_matching(t["narinfos"], loose, ["id"])
+    had = t["nar_file_chunks"].join(lost.select(F.col("id").alias("nar_file_id")), "nar_file_id", "left_semi").select(F.col("chunk_id").alias("id")).distinct()
+    out["chunks"] = dml.delete_matching(t["chunks"], unlinked_chunks(t["chunks"], out["nar_file_chunks"], had).select("id"), ["id"])
+    return out
+
+
+def repaired(tables: dict[str, DataFrame], found: dict[str, DataFrame], file_key: list[str]) -> dict[str, DataFrame]:
+    """The twelve repair steps in order, each on what the one before left, and each only for what the checks found (by check: id,
+    or hash of stored chunks) and still holds: a narinfos without a file are relinked where one fits and go otherwise; b files
+    without a narinfo; c files missing from storage, with the narinfos that this leaves bare; d stored files without a row; e
+    chunks without a file; f files with chunk issues; f2 of another size; f3 with corrupt chunks; f4 with another hash; g stored
+    chunks without a row; e2 chunks that these steps left without a file; and narinfos that say xz where nothing is.
+
+    tables: narinfos, nar_files, narinfo_nar_files, chunks, nar_file_chunks, stored, stored_chunks. Written to the shared folder
+    after a to c and after f4, as the plan would grow with the steps."""
+
+    def kept(t: dict[str, DataFrame], *names: str) -> dict[str, DataFrame]:
+        return t | {n: staged(t[n], n) for n in names}
+
     t = dict(tables)
-    pairs = relink_plan(t["narinfos"], t["narinfo_nar_files"], t["nar_files"], F.regexp_extract("url", r"^nar/([^.]+)\.", 1), F.col("compression"))
-    t["narinfo_nar_files"] = dml.relink(t["narinfo_nar_files"], pairs)
-    t["narinfos"] = t["narinfos"].join(unlinked_infos(t["narinfos"], t["narinfo_nar_files"]).select("id"), "id", "left_anti")
-    lost = missing_files(t["nar_files"], stored, file_key).select("id").unionByName(unlinked_files(t["nar_files"], t["narinfo_nar_files"]).select("id"))
-    links = {"narinfo_nar_files": [("nar_file_id", "nar_files")], "nar_file_chunks": [("nar_file_id", "nar_files")]}
-    t = dml.cascade(t, links, "nar_files", lost.distinct())
-    t["chunks"] = t["chunks"].join(unlinked_chunks(t["chunks"], t["nar_file_chunks"]).select("id"), "id", "left_anti")
+    suspects = t["narinfos"].join(found["1a"].select("id"), "id", "left_semi")
+    pairs = relink_plan(suspects, t["narinfo_nar_files"], t["nar_files"], F.regexp_extract("url", r"^nar/([^.]+)\.", 1), F.col("compression"))
+    t["narinfo_nar_files"] = staged(dml.relink(t["narinfo_nar_files"].select("narinfo_id", "nar_file_id"), pairs), "links")
+    t["narinfos"] = dml.delete_matching(t["narinfos"], unlinked_infos(suspects, t["narinfo_nar_files"]).select("id"), ["id"])
+    bare = unlinked_files(t["nar_files"], t["narinfo_nar_files"]).join(found["1b"].select("id"), "id", "left_semi").select("id")
+    t = dml.cascade(t, OF_FILE, "nar_files", staged(bare, "bare"))
+    lost = missing_files(t["nar_files"], t["stored"], file_key).join(found["1c"].select("id"), "id", "left_semi").select("id")
+    chunks = t["chunks"]
+    t = kept(_without_files(t, staged(lost, "lost")) | {"chunks": chunks}, "narinfos", "nar_files", "narinfo_nar_files", "nar_file_chunks")
+    t["stored"] = dml.delete_matching(t["stored"], unknown_files(t["stored"].join(found["1d"].select(*file_key), file_key, "left_semi"), t["nar_files"], file_key).select(*file_key), file_key)
+    t["chunks"] = dml.delete_matching(t["chunks"], unlinked_chunks(t["chunks"], t["nar_file_chunks"], found["1e"]).select("id"), ["id"])
+    still = {
+        "1f": lambda: chunk_issues(t["nar_files"], t["nar_file_chunks"], t["chunks"], t["stored_chunks"]),
+        "1g": lambda: size_mismatches(t["nar_files"], t["narinfo_nar_files"], t["narinfos"]),
+        "1i": lambda: t["nar_files"], "1j": lambda: t["nar_files"],
+    }
+    for check, again in still.items():
+        lost = again().select("id").join(found[check].select("id"), "id", "left_semi")
+        t = kept(_without_files(t, staged(lost, "lost")), "narinfos", "nar_files", "narinfo_nar_files", "nar_file_chunks", "chunks")
+    loose = t["stored_chunks"].join(found["1h"].select("hash"), "hash", "left_semi").join(t["chunks"].select("hash"), "hash", "left_anti")
+    t["stored_chunks"] = dml.delete_matching(t["stored_chunks"], loose.select("hash"), ["hash"])
+    t["chunks"] = dml.delete_matching(t["chunks"], unlinked_chunks(t["chunks"], t["nar_file_chunks"]).select("id"), ["id"])
+    t["narinfos"] = desync_repaired(t["narinfos"], t["narinfo_nar_files"], t["nar_files"])
     return t

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import urls
 from ..functions.values import older_than
+from . import dml
 
 
 def servability(stored: Column, total_chunks: Column, started_at: Column, locked: Column) -> tuple[Column, Column]:
@@ -86,6 +91,69 @@ def readable(narinfos: DataFrame, references: DataFrame, signatures: DataFrame)
     return out.withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in ("references", "signatures")})
 
 
+def bytes_stored(wanted: DataFrame, files: DataFrame) -> DataFrame:
+    """The wanted (hash, query) whose bytes some row says are stored, in any compression."""
+    return wanted.join(files.where("bytes_stored_at is not null").select("hash", "query"), ["hash", "query"], "left_semi")
+
+
+def safe_delete(narinfos: DataFrame, links: DataFrame, nar_files: DataFrame, files: DataFrame, verified: DataFrame) -> dict[str, DataFrame]:
+    """The snapshots after deleting files (id) whose verified narinfos (id) are gone upstream: their links go, then verified
+    narinfos that have no other link, then the files that nothing links to any more."""
+    gone = links.join(files.select(F.col("id").alias("nar_file_id")), "nar_file_id", "left_semi").join(verified.select(F.col("id").alias("narinfo_id")), "narinfo_id", "left_semi")
+    kept = links.join(gone.select("narinfo_id", "nar_file_id"), ["narinfo_id", "nar_file_id"], "left_anti")
+    loose = gone.select(F.col("narinfo_id").alias("id")).distinct().join(kept.select(F.col("narinfo_id").alias("id")), "id", "left_anti")
+    bare = files.select("id").join(kept.select(F.col("nar_file_id").alias("id")), "id", "left_anti")
+    return {"narinfos": dml.delete_matching(narinfos, loose, ["id"]), "narinfo_nar_files": kept, "nar_files": dml.delete_matching(nar_files, bare, ["id"])}
+
+
+def put_archives(put: DataFrame, stored: DataFrame, nar_files: DataFrame, narinfos: DataFrame, links: DataFrame, now: Column) -> dict[str, DataFrame]:
+    """The snapshots after archives were put, again or for the first time. put: hash, compression, query, size. What storage has
+    already keeps its size; the record is made or gets size and marker; narinfos whose URL names the archive are linked."""
+    key = ["hash", "compression", "query"]
+    sized = put.join(stored.select(*key, F.col("size").alias("_has")), key, "left").withColumn("file_size", F.coalesce("_has", "size"))
+    new = sized.select(F.xxhash64(*key).alias("id"), *key, "file_size", F.lit(0).cast("long").alias("total_chunks"), now.alias("bytes_stored_at"), now.alias("created_at"))
+    files = dml.upsert(nar_files, new, key, ["file_size", "bytes_stored_at"])
+    named = narinfos.where("coalesce(url, '') <> ''").select(F.col("id").alias("narinfo_id"), urls.parsed(F.col("url")).alias("p")).select("narinfo_id", "p.hash", "p.compression", "p.query")
+    pairs = named.join(files.join(put.select(*key), key, "left_semi").select(F.col("id").alias("nar_file_id"), *key), key).select("narinfo_id", "nar_file_id")
+    return {"nar_files": files, "narinfo_nar_files": dml.relink(links, pairs)}
+
+
+def deleted_archives(nar_files: DataFrame, removed: DataFrame) -> DataFrame:
+    """nar_files after stored objects (hash, query, compression) were removed: their markers are cleared."""
+    return dml.update_matching(nar_files, removed, ["hash", "query", "compression"], {"bytes_stored_at": F.lit(None)})
+
+
+def served(wanted: DataFrame, stored: DataFrame, nar_files: DataFrame, now: Column) -> DataFrame:
+    """nar_files after requests for uncompressed archives (hash, query) were served from what storage has: the row asked for is
+    touched, else the row of the variant served, else that row is made."""
+    chosen = stored_variant(wanted, stored).withColumnRenamed("compression", "_served")
+    exact = nar_files.where("compression = 'none'").select("hash", "query", F.lit("none").alias("_exact"))
+    target = chosen.join(exact, ["hash", "query"], "left").select("hash", "query", F.coalesce("_exact", "_served").alias("compression"))
+    sizes = stored.select("hash", "query", "compression", F.col("size").alias("file_size"))
+    new = target.join(sizes, ["hash", "query", "compression"], "left").select(F.xxhash64("hash", "compression", "query").alias("id"), "hash", "query", "compression", F.coalesce("file_size", F.lit(0)).cast("long").alias("file_size"), F.lit(0).cast("long").alias("total_chunks"), now.alias("last_accessed_at"), now.alias("created_at"))
+    return dml.upsert(nar_files, new, ["hash", "query", "compression"], ["last_accessed_at"])
+
+
+def migrated_narinfos(stored: DataFrame, narinfos: DataFrame, references: DataFrame, signatures: DataFrame) -> dict[str, DataFrame]:
+    """The snapshots after stored narinfos (parsed: hash, url ... references, signatures) moved into the tables, and the outcome
+    of each (hash, outcome): invalid without a store path or URL, already with a URL in the table, else migrated. Stubs are filled
+    whole, references and signatures added once each. Everything but invalid texts may then leave storage."""
+    known = narinfos.where("coalesce(url, '') <> ''").select("hash", F.lit(True).alias("_known"))
+    invalid = (F.coalesce("store_path", F.lit("")) == "") | (F.coalesce("url", F.lit("")) == "")
+    marked = stored.join(known, "hash", "left").withColumn("outcome", F.when(invalid, "invalid").when(F.col("_known"), "already").otherwise("migrated"))
+    fresh = marked.where("outcome = 'migrated'")
+    columns = [c for c in narinfos.columns if c in stored.columns and c != "hash"]
+    nulled = [F.when(F.col(c) == F.lit(0 if c == "file_size" else ""), None).otherwise(F.col(c)).alias(c) if c in ("file_size", "deriver", "file_hash", "ca", "system") else F.col(c) for c in columns]
+    infos = dml.fill_stubs(narinfos, fresh.select(F.xxhash64("hash").alias("id"), "hash", *nulled), ["hash"])
+    ids = infos.select(F.col("id").alias("narinfo_id"), "hash")
+    children = lambda c, name: fresh.select("hash", F.explode(c).alias(name)).join(ids, "hash").select("narinfo_id", name)
+    return {
+        "narinfos": infos, "outcomes": marked.select("hash", "outcome"),
+        "narinfo_references": dml.insert_or_ignore(references, children("references", "reference"), ["narinfo_id", "reference"]),
+        "narinfo_signatures": dml.insert_or_ignore(signatures, children("signatures", "signature"), ["narinfo_id", "signature"]),
+    }
+
+
 def fallback_lookup(wanted: DataFrame, files: DataFrame, plain_first: bool = False) -> DataFrame:
     """For each wanted (hash, query, compression) the file to serve: of that compression, else uncompressed; the other way round
     where chunking is on."""
@@ -118,6 +186,12 @@ def config_drift(stored: DataFrame, current: dict[str, str]) -> DataFrame:
     return got.select(F.when(F.size("m") == 0, "new").when(F.size("m") < len(current), "partial").when(message == "", "same").otherwise("drift").alias("state"), message.alias("message"))
 
 
+def config_value(stored: DataFrame, key: str) -> DataFrame:
+    """value of one setting; without it the query fails when it runs, as nothing stands for a setting that is not there."""
+    got = stored.where(F.col("key") == key).agg(F.max("value").alias("value"), F.count(F.lit(1)).alias("n"))
+    return got.select(F.when(F.col("n") > 0, F.col("value")).otherwise(F.raise_error(F.lit(f"not found: {key}")).cast("string")).alias("value"))
+
+
 def mode_detected(config: DataFrame, key: str, nar_files: DataFrame, chunks: DataFrame) -> DataFrame:
     """One row: on_by_config, on_by_files, on_by_chunks or off, the first that holds."""
     said = config.where((F.col("key") == key) & (F.col("value") == "true")).limit(1).agg((F.count(F.lit(1)) > 0).alias("said"))
@@ -157,11 +231,34 @@ def breaker(rows: DataFrame, key: str, at: str, failed: Column, threshold: int =
 
 
 def touches(log: DataFrame, key: str, at: str, seconds: int = 300) -> DataFrame:
-    """key, accepted, last: accesses that rewrote the access time, each more than so many seconds after the last accepted one."""
-    times = log.groupBy(key).agg(F.array_sort(F.collect_list(at)).alias("t"))
-    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast(log.schema[at].dataType).alias("last"))
-    fold = F.aggregate("t", zero, lambda s, x: F.when(s["last"].isNull() | older_than(s["last"], x, seconds), F.struct((s["n"] + 1).alias("n"), x.alias("last"))).otherwise(s))
-    return times.select(key, fold["n"].alias("accepted"), fold["last"].alias("last"))
+    """key, accepted, last: accesses that rewrote the access time, each more than so many seconds after the last accepted one.
+
+    Each depends on the one accepted before, so a key's times are walked in order, sorted in their task and not gathered."""
+    schema = log.select(key, at).schema
+    kinds = [schema[c].dataType.simpleString() for c in (key, at)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, types, out = None, None, []
+        made = lambda: pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], types[0]), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], types[1])], names=[key, "accepted", "last"])
+        for batch in batches:
+            types = batch.column(0).type, batch.column(1).type
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if held is None or held[0] != k:
+                    if held is not None:
+                        out.append(held)
+                    held = (k, int(t is not None), t)
+                elif t is not None and (held[2] is None or (t - held[2]).total_seconds() > seconds):
+                    held = (k, held[1] + 1, t)
+            if len(out) >= 5000:
+                yield made()
+                out = []
+        if held is not None:
+            out.append(held)
+        if out:
+            yield made()
+
+    walked = log.select(key, at).repartition(key).sortWithinPartitions(key, at)
+    return walked.mapInArrow(run, f"`{key}` {kinds[0]}, accepted long, last {kinds[1]}")
 
 
 def coalesced(log: DataFrame, key: str, start: str, end: str) -> DataFrame:

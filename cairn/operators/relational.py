@@ -83,6 +83,12 @@ class Query:
             raise NotSingular
         return rows[0]
 
+    def single(self) -> DataFrame:
+        """The only row, as a table; with no row or several the query fails when it runs."""
+        rows = self.df.limit(2).agg(F.collect_list(F.struct(*self.df.columns)).alias("r"))
+        sound = F.when(F.size("r") == 1, F.get("r", F.lit(0))).otherwise(F.raise_error(F.when(F.size("r") == 0, "not found").otherwise("not singular")).cast(rows.schema["r"].dataType.elementType))
+        return rows.select(sound.alias("r")).select("r.*")
+
     def count(self) -> DataFrame:
         return self.df.agg(F.count(F.lit(1)).alias("count"))
 

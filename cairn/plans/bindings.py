@@ -6,6 +6,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shared import staged
+
 NOW = "2024-02-01 00:00:00"
 
 #: name -> SQL, or (Spark's, DuckDB's). {name} is another table, {ts} the type of a time without zone.
@@ -29,8 +31,10 @@ BINDINGS: dict[str, str | tuple[str, str]] = {
         CASE WHEN p_size % 6 = 0 THEN CAST('2024-01-31 12:00:00' AS {ts}) WHEN p_size % 6 = 1 THEN CAST('2024-01-01 00:00:00' AS {ts}) END AS dechunk_residue_flagged_at,
         CASE WHEN p_size % 8 = 0 THEN CAST('2024-01-31 23:59:00' AS {ts}) ELSE CAST('2024-01-05 00:00:00' AS {ts}) END AS created_at
         FROM {part}""",
+    # every eleventh narinfo and every thirteenth file has no link: what the integrity checks are to find
     "narinfo_nar_files": """SELECT CAST(l_orderkey * 1000000 + l_partkey AS BIGINT) AS id, l_orderkey AS narinfo_id, l_partkey AS nar_file_id
-        FROM (SELECT DISTINCT l_orderkey, l_partkey FROM {lineitem}) x""",
+        FROM (SELECT l_orderkey, l_partkey FROM {lineitem} UNION SELECT o_orderkey, o_orderkey % 200 FROM {orders} WHERE o_orderkey % 5 = 1) x
+        WHERE l_orderkey % 11 <> 0 AND l_partkey % 13 <> 0""",
     "refs": """SELECT src, dst FROM (SELECT o_orderkey AS src, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS dst FROM {orders}) x WHERE dst IS NOT NULL
         UNION ALL SELECT o_orderkey AS src, o_orderkey AS dst FROM {orders}""",
     "pinned": "SELECT o_orderkey AS id, md5('i' || CAST(o_orderkey AS STRING)) AS hash FROM {orders} WHERE o_orderpriority = '1-URGENT' AND o_orderkey % 50 = 0",
@@ -41,7 +45,12 @@ BINDINGS: dict[str, str | tuple[str, str]] = {
         FROM (SELECT doc_id AS nar_file_id, unnest(string_split(text, chr(10))) AS data, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM {documents}) x""",
     ),
     "chunks": "SELECT min(nar_file_id * 100000 + chunk_index) AS id, hash, max(size) AS size FROM {rows} GROUP BY hash",
-    "nar_file_chunks": "SELECT r.nar_file_id, c.id AS chunk_id, r.chunk_index FROM {rows} r JOIN {chunks} c ON r.hash = c.hash",
+    # every seventh file's links are lost
+    "nar_file_chunks": "SELECT r.nar_file_id, c.id AS chunk_id, r.chunk_index FROM {rows} r JOIN {chunks} c ON r.hash = c.hash WHERE r.nar_file_id % 7 <> 3",
+    # files and narinfos of the repair: chunk counts that mostly hold, and a few sizes that do not
+    "cdc_files": """SELECT f.id, f.hash, f.compression, f.query, f.file_size, CASE WHEN f.total_chunks = 0 OR n.n IS NULL THEN CAST(0 AS BIGINT) ELSE n.n + CASE WHEN f.id % 10 = 1 THEN 1 ELSE 0 END END AS total_chunks
+        FROM {nar_files} f LEFT JOIN (SELECT nar_file_id, count(*) AS n FROM {nar_file_chunks} GROUP BY nar_file_id) n ON n.nar_file_id = f.id""",
+    "cdc_infos": "SELECT id, hash, url, compression, file_size, CASE WHEN id % 400 = 7 THEN nar_size END AS nar_size, nar_hash FROM {narinfos}",
     "stored": "SELECT doc_id AS id FROM {labels}",
     "doc_files": "SELECT doc_id AS id, CASE WHEN doc_id % 4 = 0 THEN CAST(0 AS BIGINT) ELSE CAST(n_chars % 9 AS BIGINT) + 1 END AS total_chunks FROM {documents}",
     "probes": """SELECT p.p_partkey AS narinfo_id, s.s_suppkey AS upstream_id, CASE WHEN s.s_acctbal < 0 THEN 'unknown' WHEN l.l_partkey IS NULL THEN 'absent' ELSE 'present' END AS status
@@ -49,6 +58,12 @@ BINDINGS: dict[str, str | tuple[str, str]] = {
         LEFT JOIN (SELECT DISTINCT l_partkey, l_suppkey FROM {lineitem}) l ON l.l_partkey = p.p_partkey AND l.l_suppkey = s.s_suppkey""",
     "staging_states": """SELECT 'u' || CAST(user_id AS STRING) AS hash, min(ts) AS created_at, CASE WHEN count(*) % 3 = 0 THEN NULL ELSE max(ts) END AS updated_at,
         CASE user_id % 3 WHEN 0 THEN 'requested' WHEN 1 THEN 'staging' ELSE 'complete' END AS status FROM {events} GROUP BY user_id""",
+    "signatures": """SELECT o_orderkey AS narinfo_id, 'key' || CAST(o_custkey % 5 AS STRING) || ':' || md5('s' || CAST(o_orderkey AS STRING)) AS signature FROM {orders}
+        UNION ALL SELECT o_orderkey, 'here-1:' || md5('t' || CAST(o_orderkey AS STRING)) FROM {orders} WHERE o_orderkey % 3 = 0""",
+    "config": """SELECT CAST(n_nationkey AS BIGINT) AS id, 'setting' || CAST(n_nationkey AS STRING) AS key, n_name AS value FROM {nation}""",
+    "objects": """SELECT substring(hash, 1, 1) || '/' || substring(hash, 1, 2) || '/' || hash || CASE id % 5 WHEN 0 THEN '.nar' WHEN 1 THEN '.nar.xz' WHEN 2 THEN '.nar.zst' WHEN 3 THEN '.narinfo' ELSE '.part' END AS path,
+        file_size AS size FROM {nar_files}""",
+    "pieces": """SELECT conv_id, CAST(turn AS BIGINT) AS part, text AS data, count(*) OVER (PARTITION BY conv_id) - CASE WHEN conv_id % 2 = 0 THEN 1 ELSE 0 END AS parts_available FROM {conversations}""",
     "build_traces": """SELECT conv_id, turn, '/store/' || CAST(conv_id AS STRING) || '.drv' AS drv_path, 'out' || CAST(turn AS STRING) AS output_name, md5(text) AS out_path, role AS key_name FROM {conversations}""",
 }
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -78,6 +93,14 @@ class Tables:
         self._seen[name] = out
         return out
 
+    def staged(self, *names: str) -> Tables:
+        """The same tables with those named written once to the shared folder, for queries that read them several times."""
+        out = Tables(self._spark, self._dir)
+        out._seen = dict(self._seen)
+        for name in names:
+            out._seen[name] = staged(getattr(out, name), name)
+        return out
+
 
 def with_bindings(sql: str) -> str:
     """A DuckDB query with the bound tables that it names put in front as WITH clauses."""

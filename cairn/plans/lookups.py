@@ -57,12 +57,7 @@ def _(t):
     return top.join(n, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query("q_order_by_edge_term", "SELECT i.id FROM narinfos i LEFT JOIN (SELECT narinfo_id, min(nar_file_id) AS t FROM narinfo_nar_files GROUP BY 1) l ON l.narinfo_id = i.id ORDER BY l.t ASC NULLS FIRST, i.id LIMIT 300")
-def _(t):
-    return Query(t.narinfos).order_by_child(t.narinfo_nar_files, "narinfo_id", "nar_file_id").limit(300).select("id")
-
-
-@query("q_order_by_edge_term_all", "SELECT i.id FROM narinfos i LEFT JOIN (SELECT narinfo_id, min(nar_file_id) AS t FROM narinfo_nar_files GROUP BY 1) l ON l.narinfo_id = i.id ORDER BY l.t ASC NULLS FIRST, i.id")
+@query("q_order_by_edge_term", "SELECT i.id FROM narinfos i LEFT JOIN (SELECT narinfo_id, min(nar_file_id) AS t FROM narinfo_nar_files GROUP BY 1) l ON l.narinfo_id = i.id ORDER BY l.t ASC NULLS FIRST, i.id")
 def _(t):
     return Query(t.narinfos).order_by_child(t.narinfo_nar_files, "narinfo_id", "nar_file_id").select("id")
 
@@ -93,13 +88,7 @@ def _(t):
     return Query(t.nar_files).group_by("compression").agg(F.count(F.lit(1)).alias("n"), F.max(s).alias("most"), F.min(s).alias("least"), F.sum(s).alias("total"), F.round(F.avg(s.cast("double")), 4).alias("mean"))
 
 
-@query("q_eager_children", "SELECT i.id, coalesce((SELECT string_agg(CAST(l.nar_file_id AS VARCHAR), ',' ORDER BY l.id) FROM narinfo_nar_files l WHERE l.narinfo_id = i.id), '') AS files FROM narinfos i WHERE i.id < 500")
-def _(t):
-    out = Query(t.narinfos.where("id < 500")).with_children(t.narinfo_nar_files.where("narinfo_id < 500"), "narinfo_id", "files", "id")
-    return out.select("id", F.array_join(F.transform("files", lambda x: x["nar_file_id"].cast("string")), ",").alias("files"))
-
-
-@query("q_eager_children_all", "SELECT i.id, coalesce(l.files, '') AS files FROM narinfos i LEFT JOIN (SELECT narinfo_id, string_agg(CAST(nar_file_id AS VARCHAR), ',' ORDER BY id) AS files FROM narinfo_nar_files GROUP BY 1) l ON l.narinfo_id = i.id")
+@query("q_eager_children", "SELECT i.id, coalesce(l.files, '') AS files FROM narinfos i LEFT JOIN (SELECT narinfo_id, string_agg(CAST(nar_file_id AS VARCHAR), ',' ORDER BY id) AS files FROM narinfo_nar_files GROUP BY 1) l ON l.narinfo_id = i.id")
 def _(t):
     out = Query(t.narinfos).with_children(t.narinfo_nar_files, "narinfo_id", "files", "id")
     return out.select("id", F.array_join(F.transform("files", lambda x: x["nar_file_id"].cast("string")), ",").alias("files"))

@@ -94,7 +94,7 @@ def _(t):
     return integrity.relink_plan(t.narinfos, t.narinfo_nar_files, t.nar_files, F.regexp_extract("url", r"^nar/([^.]+)\.", 1), F.col("compression"))
 
 
-@query("q_split_links", "SELECT DISTINCT narinfo_id, nar_file_id FROM narinfo_nar_files")
+@query("q_split_links", "SELECT DISTINCT l_orderkey AS narinfo_id, l_partkey AS nar_file_id FROM lineitem")
 def _(t):
     return t.lineitem.select(F.col("l_orderkey").alias("narinfo_id"), F.col("l_partkey").alias("nar_file_id")).distinct()
 
@@ -119,7 +119,7 @@ def _(t):
     return links.join(known.select(F.col("id").alias("chunk_id"), "hash"), "chunk_id").select("nar_file_id", "chunk_index", "hash")
 
 
-@query("q_purge_chunked", """SELECT 'chunks' AS kind, count(*) AS n FROM chunks WHERE id IN (SELECT chunk_id FROM nar_file_chunks WHERE nar_file_id % 4 <> 1)
+@query("q_purge_chunked", """SELECT 'chunks' AS kind, count(*) AS n FROM chunks WHERE id IN (SELECT chunk_id FROM nar_file_chunks WHERE nar_file_id % 4 <> 1) OR id NOT IN (SELECT chunk_id FROM nar_file_chunks)
   UNION ALL SELECT 'links', count(*) FROM nar_file_chunks WHERE nar_file_id % 4 <> 1""")
 def _(t):
     _, links, left = chunks.purged(t.doc_files, t.nar_file_chunks, t.chunks, t.doc_files.where("id % 4 = 1"))
@@ -138,27 +138,3 @@ def _(t):
     return chunks.completed(files, done).select("id", "total_chunks")
 
 
-@query("q_residue_applied", f"""SELECT f.id, CASE WHEN d.decision = 'set' THEN {T} WHEN d.decision IN ('clear', 'normalise+clear') THEN NULL ELSE f.dechunk_residue_flagged_at END AS flagged
-  FROM nar_files f LEFT JOIN (SELECT id, CASE WHEN chunking_started_at > {T} - INTERVAL 1 HOUR THEN 'skip' WHEN dechunk_residue_flagged_at IS NULL THEN 'set'
-    WHEN dechunk_residue_flagged_at <= {T} - INTERVAL 1 DAY THEN 'reclaim' ELSE 'wait' END AS decision FROM nar_files WHERE total_chunks > 0) d ON d.id = f.id
-  WHERE coalesce(d.decision, '') <> 'reclaim'""")
-def _(t):
-    none = t.narinfos.limit(0)
-    decisions = integrity.residue(t.nar_files, t.narinfo_nar_files.limit(0), none, now())
-    return integrity.residue_applied(t.nar_files, none, t.narinfo_nar_files.limit(0), decisions, now())["nar_files"].select("id", F.col("dechunk_residue_flagged_at").alias("flagged"))
-
-
-@query("q_repaired", """WITH linked AS (SELECT narinfo_id, nar_file_id FROM narinfo_nar_files WHERE narinfo_id % 4 <> 0),
-  plan AS (SELECT i.id AS narinfo_id, min_by(f.id, (CASE WHEN f.compression = i.compression THEN 0 ELSE 1 END) * 100000000 + f.id) AS nar_file_id
-    FROM narinfos i JOIN nar_files f ON f.hash = regexp_extract(i.url, '^nar/([^.]+)\\.', 1) WHERE i.id NOT IN (SELECT narinfo_id FROM linked) GROUP BY i.id),
-  both_ AS (SELECT * FROM linked UNION SELECT * FROM plan),
-  lost AS (SELECT id FROM nar_files WHERE (total_chunks <= 0 AND id NOT IN (SELECT id FROM stored)) OR id NOT IN (SELECT nar_file_id FROM both_))
-  SELECT 'narinfos' AS kind, count(*) AS n FROM narinfos WHERE id IN (SELECT narinfo_id FROM both_)
-  UNION ALL SELECT 'nar_files', count(*) FROM nar_files WHERE id NOT IN (SELECT id FROM lost)
-  UNION ALL SELECT 'links', count(*) FROM both_ WHERE nar_file_id NOT IN (SELECT id FROM lost)
-  UNION ALL SELECT 'chunks', count(*) FROM chunks WHERE id IN (SELECT chunk_id FROM nar_file_chunks WHERE nar_file_id NOT IN (SELECT id FROM lost))""")
-def _(t):
-    links = t.narinfo_nar_files.where("narinfo_id % 4 <> 0")
-    out = integrity.repaired({"narinfos": t.narinfos, "nar_files": t.nar_files, "narinfo_nar_files": links.select("narinfo_id", "nar_file_id"), "chunks": t.chunks, "nar_file_chunks": t.nar_file_chunks}, t.stored, ["id"])
-    one = lambda k, n: out[k].agg(F.lit(n).alias("kind"), F.count(F.lit(1)).alias("n"))
-    return one("narinfos", "narinfos").unionByName(one("nar_files", "nar_files")).unionByName(one("narinfo_nar_files", "links")).unionByName(one("chunks", "chunks"))

@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None) -> Callable:
 
 
 def queries() -> dict[str, Callable]:
-    from . import lookups, mutations, reports, streams  # noqa: F401  they register themselves
+    from . import lookups, mutations, repairs, reports, streams, texts  # noqa: F401  they register themselves
 
     return dict(QUERIES)
 

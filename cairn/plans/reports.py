@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import schema
-from ..operators import chunks, eviction, graph, integrity, recovery
+from ..operators import chunks, dml, eviction, graph, integrity, recovery
 from .bindings import NOW
 from .registry import query
 
@@ -14,14 +14,14 @@ now = lambda: F.expr(f"TIMESTAMP_NTZ '{NOW}'")
 T = f"TIMESTAMP '{NOW}'"
 
 
-@query("q_orphan_files", "SELECT id FROM nar_files WHERE id NOT IN (SELECT nar_file_id FROM narinfo_nar_files WHERE narinfo_id % 20 = 0)")
+@query("q_orphan_files", "SELECT id FROM nar_files WHERE id NOT IN (SELECT nar_file_id FROM narinfo_nar_files)")
 def _(t):
-    return integrity.unlinked_files(t.nar_files, t.narinfo_nar_files.where("narinfo_id % 20 = 0")).select("id")
+    return integrity.unlinked_files(t.nar_files, t.narinfo_nar_files).select("id")
 
 
-@query("q_orphan_chunks", "SELECT id, hash FROM chunks WHERE id NOT IN (SELECT chunk_id FROM nar_file_chunks WHERE nar_file_id % 2 = 0)")
+@query("q_orphan_chunks", "SELECT id, hash FROM chunks WHERE id NOT IN (SELECT chunk_id FROM nar_file_chunks)")
 def _(t):
-    return integrity.unlinked_chunks(t.chunks, t.nar_file_chunks.where("nar_file_id % 2 = 0")).select("id", "hash")
+    return integrity.unlinked_chunks(t.chunks, t.nar_file_chunks).select("id", "hash")
 
 
 @query("q_orphans_among", "SELECT id FROM chunks WHERE id IN (SELECT chunk_id FROM nar_file_chunks WHERE nar_file_id % 5 = 0) AND id NOT IN (SELECT chunk_id FROM nar_file_chunks WHERE nar_file_id % 5 <> 0)")
@@ -54,11 +54,11 @@ def _(t):
 
 
 SIZE = """SELECT DISTINCT f.id FROM nar_files f JOIN narinfo_nar_files l ON l.nar_file_id = f.id JOIN narinfos i ON i.id = l.narinfo_id
-  WHERE f.total_chunks > 0 AND i.nar_size IS NOT NULL AND i.nar_size <> f.file_size AND i.id % 60 = 0"""
+  WHERE f.total_chunks > 0 AND i.nar_size IS NOT NULL AND i.nar_size <> f.file_size"""
 
 
 def _size(t):
-    return integrity.size_mismatches(t.nar_files, t.narinfo_nar_files, t.narinfos.where("id % 60 = 0")).select("id")
+    return integrity.size_mismatches(t.nar_files, t.narinfo_nar_files, t.narinfos).select("id")
 
 
 @query("q_size_mismatch", SIZE)
@@ -66,85 +66,50 @@ def _(t):
     return _size(t)
 
 
-SIZE_ALL = SIZE.removesuffix(" AND i.id % 60 = 0")
-
-
-def _size_all(t):
-    return integrity.size_mismatches(t.nar_files, t.narinfo_nar_files, t.narinfos).select("id")
-
-
-@query("q_size_mismatch_all", SIZE_ALL)
-def _(t):
-    return _size_all(t)
+IN_STORE = "SELECT DISTINCT hash FROM rows WHERE hash NOT IN (SELECT hash FROM chunks WHERE id % 2 = 0)"
 
 
-@query("q_orphan_chunks_in_store", "SELECT DISTINCT hash FROM rows WHERE hash NOT IN (SELECT hash FROM chunks WHERE id % 2 = 0)")
-def _(t):
+@query("q_orphan_chunks_in_store", IN_STORE)
+def _in_store(t):
     return t.rows.select("hash").distinct().join(t.chunks.where("id % 2 = 0"), "hash", "left_anti")
 
 
-CORRUPT = f"SELECT DISTINCT nar_file_id AS id FROM rows WHERE hash IN (SELECT hash FROM rows WHERE size % 50 = 3) AND nar_file_id NOT IN ({CHUNK_ISSUES})"
+CORRUPT = f"SELECT DISTINCT nar_file_id AS id FROM nar_file_chunks WHERE chunk_id IN (SELECT id FROM chunks WHERE size % 50 = 3) AND nar_file_id NOT IN ({CHUNK_ISSUES})"
 
 
 @query("q_corrupt_chunks", CORRUPT)
-def _(t):
+def _corrupt(t):
     contents = t.rows.select("hash", F.when(F.col("size") % 50 == 3, F.concat("data", F.lit("?"))).otherwise(F.col("data")).alias("content")).distinct()
     return integrity.corrupt(t.doc_files, t.nar_file_chunks, t.chunks, contents, _chunk_issues(t))
 
 
-@query("q_hash_mismatch", "SELECT doc_id AS id FROM documents WHERE doc_id % 3 = 1 AND doc_id % 7 <> 0")
-def _(t):
-    whole = chunks.assembled(t.rows.withColumn("data", F.concat(F.when(F.col("chunk_index") > 0, "\n").otherwise(""), "data")), F.col("data"))
-    assembled = whole.select(F.col("nar_file_id").alias("id"), F.sha2("data", 256).alias("sha256"))
+MISMATCH = "SELECT doc_id AS id FROM documents WHERE doc_id % 3 = 1 AND doc_id % 7 <> 0"
+
+
+@query("q_hash_mismatch", MISMATCH)
+def _mismatch(t):
+    lined = F.concat(F.when(F.col("chunk_index") > 0, "\n").otherwise(""), "data").cast("binary")
+    assembled = chunks.assembled_digests(t.rows.select("nar_file_id", "chunk_index", lined.alias("content"))).select(F.col("nar_file_id").alias("id"), "sha256")
     infos = t.documents.select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 3 == 1, F.lit("wrong")).when(F.col("doc_id") % 3 == 2, F.lit("")).otherwise(F.sha2("text", 256)).alias("nar_hash"))
     links = infos.select("id", F.col("id").alias("narinfo_id"), F.col("id").alias("nar_file_id"))
     return integrity.assembled_mismatches(assembled, links, infos, t.documents.where("doc_id % 7 = 0").select(F.col("doc_id").alias("id")))
 
 
-SUMMARY = f"""WITH n AS (
-  SELECT 0 AS position, '1a' AS "check", 'narinfos without a file' AS label, count(*) AS n FROM narinfos WHERE id NOT IN (SELECT narinfo_id FROM narinfo_nar_files)
-  UNION ALL SELECT 1, '1b', 'files without a narinfo', count(*) FROM nar_files WHERE id NOT IN (SELECT nar_file_id FROM narinfo_nar_files)
-  UNION ALL SELECT 2, '1c', 'files missing from storage', count(*) FROM nar_files WHERE total_chunks <= 0 AND id NOT IN (SELECT id FROM stored)
-  UNION ALL SELECT 3, '1d', 'stored files without a row', count(*) FROM stored WHERE id NOT IN (SELECT id FROM nar_files)
-  UNION ALL SELECT 4, '1e', 'chunks without a file', count(*) FROM chunks WHERE id NOT IN (SELECT chunk_id FROM nar_file_chunks)
-  UNION ALL SELECT 5, '1f', 'files with chunk issues', count(*) FROM ({CHUNK_ISSUES}) a
-  UNION ALL SELECT 6, '1g', 'size mismatch', count(*) FROM ({SIZE}) b)
-  SELECT * FROM n UNION ALL SELECT 12, 'all', 'total', CAST(sum(n) AS BIGINT) FROM n"""
-
-
-def _summary(t, size):
-    return integrity.summary({
-        "1a": integrity.unlinked_infos(t.narinfos, t.narinfo_nar_files), "1b": integrity.unlinked_files(t.nar_files, t.narinfo_nar_files),
-        "1c": integrity.missing_files(t.nar_files, t.stored, ["id"]), "1d": integrity.unknown_files(t.stored, t.nar_files, ["id"]),
-        "1e": integrity.unlinked_chunks(t.chunks, t.nar_file_chunks), "1f": _chunk_issues(t), "1g": size,
-    })
-
-
-@query("q_integrity_summary", SUMMARY)
-def _(t):
-    return _summary(t, _size(t))
-
-
-@query("q_integrity_summary_all", SUMMARY.replace(SIZE, SIZE_ALL))
-def _(t):
-    return _summary(t, _size_all(t))
-
-
 RESIDUE = f"""SELECT f.id, CASE WHEN f.chunking_started_at > {T} - INTERVAL 1 HOUR THEN 'skip'
    WHEN ok AND off AND flagged IS NOT NULL THEN 'normalise+clear' WHEN ok AND off THEN 'normalise' WHEN ok AND flagged IS NOT NULL THEN 'clear' WHEN ok THEN 'none'
    WHEN flagged IS NULL THEN 'set' WHEN flagged <= {T} - INTERVAL 1 DAY THEN 'reclaim' ELSE 'wait' END AS decision
   FROM (SELECT f.id, f.chunking_started_at, f.dechunk_residue_flagged_at AS flagged, coalesce(l.h, u.h, '') <> '' AS ok,
-      f.id IN (SELECT f.id FROM nar_files f JOIN (SELECT k.nar_file_id AS id, i.url FROM narinfo_nar_files k JOIN narinfos i ON i.id = k.narinfo_id WHERE k.narinfo_id % 9 = 0
+      f.id IN (SELECT f.id FROM nar_files f JOIN (SELECT k.nar_file_id AS id, i.url FROM narinfo_nar_files k JOIN narinfos i ON i.id = k.narinfo_id
           UNION ALL SELECT g.id, i.url FROM nar_files g JOIN narinfos i ON regexp_extract(i.url, '^nar/([^.]+)\\.', 1) = g.hash) w ON w.id = f.id
         WHERE w.url IS NOT NULL AND w.url <> 'nar/' || f.hash || '.nar') AS off
     FROM nar_files f
-    LEFT JOIN (SELECT k.nar_file_id, min_by(i.nar_hash, k.id) AS h FROM narinfo_nar_files k JOIN narinfos i ON i.id = k.narinfo_id WHERE i.nar_hash IS NOT NULL AND k.narinfo_id % 9 = 0 GROUP BY 1) l ON l.nar_file_id = f.id
+    LEFT JOIN (SELECT k.nar_file_id, min_by(i.nar_hash, k.id) AS h FROM narinfo_nar_files k JOIN narinfos i ON i.id = k.narinfo_id WHERE i.nar_hash IS NOT NULL GROUP BY 1) l ON l.nar_file_id = f.id
     LEFT JOIN (SELECT regexp_extract(url, '^nar/([^.]+)\\.', 1) AS hash, min_by(nar_hash, id) AS h FROM narinfos WHERE coalesce(nar_hash, '') <> '' AND url IS NOT NULL GROUP BY 1) u ON u.hash = f.hash AND u.hash <> ''
     WHERE f.total_chunks > 0) f"""
 
 
 def _residue(t):
-    return integrity.residue(t.nar_files, t.narinfo_nar_files.where("narinfo_id % 9 = 0"), t.narinfos, now())
+    return integrity.residue(t.nar_files, t.narinfo_nar_files, t.narinfos, now())
 
 
 @query("q_residue_policy", RESIDUE)
@@ -160,21 +125,32 @@ def _(t):
     return integrity.residue_report(_residue(t))
 
 
-RESIDUE_ALL = RESIDUE.replace(" WHERE k.narinfo_id % 9 = 0", "").replace(" AND k.narinfo_id % 9 = 0", "")
-
-
-def _residue_all(t):
-    return integrity.residue(t.nar_files, t.narinfo_nar_files, t.narinfos, now())
-
-
-@query("q_residue_policy_all", RESIDUE_ALL)
-def _(t):
-    return _residue_all(t)
+SUMMARY = f"""WITH n AS (
+  SELECT 0 AS position, '1a' AS "check", 'narinfos without a file' AS label, count(*) AS n FROM narinfos WHERE id NOT IN (SELECT narinfo_id FROM narinfo_nar_files)
+  UNION ALL SELECT 1, '1b', 'files without a narinfo', count(*) FROM nar_files WHERE id NOT IN (SELECT nar_file_id FROM narinfo_nar_files)
+  UNION ALL SELECT 2, '1c', 'files missing from storage', count(*) FROM nar_files WHERE total_chunks <= 0 AND id NOT IN (SELECT id FROM stored)
+  UNION ALL SELECT 3, '1d', 'stored files without a row', count(*) FROM stored WHERE id NOT IN (SELECT id FROM nar_files)
+  UNION ALL SELECT 4, '1e', 'chunks without a file', count(*) FROM chunks WHERE id NOT IN (SELECT chunk_id FROM nar_file_chunks)
+  UNION ALL SELECT 5, '1f', 'files with chunk issues', count(*) FROM ({CHUNK_ISSUES}) a
+  UNION ALL SELECT 6, '1g', 'size mismatch', count(*) FROM ({SIZE}) b
+  UNION ALL SELECT 7, '1h', 'stored chunks without a row', count(*) FROM ({IN_STORE}) c
+  UNION ALL SELECT 8, '1i', 'corrupt chunks', count(*) FROM ({CORRUPT}) d
+  UNION ALL SELECT 9, '1j', 'assembled hash mismatch', count(*) FROM ({MISMATCH}) e
+  UNION ALL SELECT 10, '11', 'recoverable residue', count(*) FROM ({RESIDUE}) f WHERE starts_with(decision, 'normalise')
+  UNION ALL SELECT 11, '12', 'reclaimable residue', count(*) FROM ({RESIDUE}) g WHERE decision = 'reclaim')
+  SELECT * FROM n UNION ALL SELECT 12, 'all', 'total', CAST(sum(n) AS BIGINT) FROM n"""
 
 
-@query("q_residue_report_all", REPORT.replace(RESIDUE, RESIDUE_ALL))
+@query("q_integrity_summary", SUMMARY)
 def _(t):
-    return integrity.residue_report(_residue_all(t))
+    t = t.staged("rows").staged("chunks", "nar_file_chunks", "narinfo_nar_files")
+    decisions = _residue(t)
+    return integrity.summary({
+        "1a": integrity.unlinked_infos(t.narinfos, t.narinfo_nar_files), "1b": integrity.unlinked_files(t.nar_files, t.narinfo_nar_files),
+        "1c": integrity.missing_files(t.nar_files, t.stored, ["id"]), "1d": integrity.unknown_files(t.stored, t.nar_files, ["id"]),
+        "1e": integrity.unlinked_chunks(t.chunks, t.nar_file_chunks), "1f": _chunk_issues(t), "1g": _size(t), "1h": _in_store(t), "1i": _corrupt(t), "1j": _mismatch(t),
+        "11": decisions.where(F.col("decision").startswith("normalise")), "12": decisions.where("decision = 'reclaim'"),
+    })
 
 
 @query("q_constraints", """SELECT 'unique chunks(hash)' AS rule, count(*) AS n FROM (SELECT hash FROM chunks GROUP BY hash HAVING count(*) > 1) a
@@ -234,18 +210,28 @@ def _(t):
     return eviction.chosen(eviction.prefix(_candidates(t), TARGET), t.pinned, TARGET).select("id")
 
 
-PLAN = f"""SELECT 'narinfo' AS kind, id FROM ({CHOSEN}) a
-  UNION ALL SELECT 'nar_file', id FROM nar_files WHERE id NOT IN (SELECT nar_file_id FROM narinfo_nar_files WHERE narinfo_id NOT IN ({CHOSEN}))"""
+PROTECTED = """(SELECT hash FROM narinfos WHERE id IN (SELECT node FROM reach))"""
+REACH = "WITH RECURSIVE reach(node) AS (SELECT id FROM pinned UNION SELECT r.dst FROM refs r JOIN reach c ON r.src = c.node)"
+PLAN = """{reach}, gone AS ({chosen}),
+  files AS (SELECT id FROM nar_files WHERE id NOT IN (SELECT nar_file_id FROM narinfo_nar_files WHERE narinfo_id NOT IN (SELECT id FROM gone)))
+  SELECT 'narinfo' AS kind, id FROM gone UNION ALL SELECT 'nar_file', id FROM files
+  UNION ALL SELECT 'chunk', id FROM chunks WHERE id NOT IN (SELECT chunk_id FROM nar_file_chunks WHERE nar_file_id NOT IN (SELECT id FROM files))"""
+
 
+def _plan(t, target):
+    protected = graph.closure(t.pinned.select(F.col("id").alias("node")), t.refs).withColumnRenamed("node", "id")
+    hashes = t.narinfos.select("id", "hash").join(protected, "id", "left_semi").select("hash")
+    return eviction.plan(t.narinfos, t.narinfo_nar_files, t.nar_files, t.nar_file_chunks, t.chunks, hashes, target)
 
-@query("q_lru_plan", PLAN)
+
+@query("q_lru_plan", PLAN.format(reach=REACH, chosen=CHOSEN.replace("(SELECT hash FROM pinned)", PROTECTED)))
 def _(t):
-    return eviction.plan(t.narinfos, t.narinfo_nar_files, t.nar_files, None, None, t.pinned, TARGET)
+    return _plan(t, TARGET)
 
 
-@query("q_lru_plan_all", "SELECT 'narinfo' AS kind, id FROM (SELECT * FROM narinfos ORDER BY last_accessed_at ASC NULLS FIRST, id LIMIT 1) x UNION ALL SELECT 'nar_file', id FROM nar_files WHERE id NOT IN (SELECT nar_file_id FROM narinfo_nar_files WHERE narinfo_id NOT IN (SELECT id FROM narinfos ORDER BY last_accessed_at ASC NULLS FIRST, id LIMIT 1))")
+@query("q_lru_plan_all", PLAN.format(reach=REACH, chosen=f"SELECT id FROM (SELECT * FROM narinfos ORDER BY last_accessed_at ASC NULLS FIRST, id LIMIT 1) x WHERE hash NOT IN {PROTECTED}"))
 def _(t):
-    return eviction.plan(t.narinfos, t.narinfo_nar_files, t.nar_files, None, None, t.pinned.where("id < 0"), 0)
+    return _plan(t, 0)
 
 
 @query("q_protected_eviction", f"""WITH RECURSIVE reach(node) AS (SELECT id FROM pinned UNION SELECT r.dst FROM refs r JOIN reach c ON r.src = c.node)
@@ -340,28 +326,18 @@ def _(t):
 
 BACKINGLESS = """SELECT f.id AS nar_file_id, CASE WHEN count(l.narinfo_id) = 0 THEN 'delete_linkless'
    WHEN count(*) FILTER (WHERE l.narinfo_id IS NOT NULL AND NOT coalesce(p.gone, false)) = 0 THEN 'delete_absent' ELSE 'keep' END AS decision
-  FROM nar_files f LEFT JOIN (SELECT * FROM narinfo_nar_files WHERE narinfo_id % 40 = 0) l ON l.nar_file_id = f.id
+  FROM nar_files f LEFT JOIN narinfo_nar_files l ON l.nar_file_id = f.id
   LEFT JOIN (SELECT narinfo_id, count(*) FILTER (WHERE status <> 'absent') = 0 AS gone FROM probes GROUP BY 1) p ON p.narinfo_id = l.narinfo_id GROUP BY f.id"""
 
 
 @query("q_backingless_gc", BACKINGLESS)
-def _(t):
-    return recovery.probed(t.nar_files, t.narinfo_nar_files.where("narinfo_id % 40 = 0"), t.probes)
-
-
-@query("q_backingless_gc_all", BACKINGLESS.replace(" WHERE narinfo_id % 40 = 0", ""))
 def _(t):
     return recovery.probed(t.nar_files, t.narinfo_nar_files, t.probes)
 
 
-@query("q_purge_files", "SELECT nar_file_id FROM narinfo_nar_files WHERE narinfo_id % 100 < 3 GROUP BY nar_file_id HAVING count(*) = count(*) FILTER (WHERE narinfo_id % 2 = 0)")
-def _(t):
-    return recovery.narinfo_purge(t.narinfo_nar_files.where("narinfo_id % 100 < 3"), t.narinfos.where("id % 2 = 0"))
-
-
-@query("q_purge_files_all", "SELECT nar_file_id FROM narinfo_nar_files GROUP BY nar_file_id HAVING count(*) = count(*) FILTER (WHERE narinfo_id % 2 = 0)")
+@query("q_purge_files", "SELECT nar_file_id FROM narinfo_nar_files GROUP BY nar_file_id HAVING count(*) = count(*) FILTER (WHERE narinfo_id % 10 <> 1)")
 def _(t):
-    return recovery.narinfo_purge(t.narinfo_nar_files, t.narinfos.where("id % 2 = 0"))
+    return recovery.narinfo_purge(t.narinfo_nar_files, t.narinfos.where("id % 10 <> 1"))
 
 
 @query("q_staging_gc", """SELECT hash, status FROM staging_states WHERE CASE WHEN status = 'complete' THEN coalesce(updated_at, created_at) < TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 2 DAY
@@ -385,7 +361,10 @@ def _(t):
     return recovery.failure_runs(t.events, "user_id", ["ts", "event_id"], F.col("event_type").isin("error", "click")).select("event_id", "failures")
 
 
-@query("q_breaker_state")
+@query("q_breaker_state", """SELECT user_id, CAST(max_by(failures, (ts, event_id)) AS BIGINT) AS failures,
+   CASE WHEN max_by(failures, (ts, event_id)) < 3 THEN 'closed' WHEN max(ts) < (SELECT max(ts) FROM events) - INTERVAL 3600 SECOND THEN 'half_open' ELSE 'open' END AS state
+  FROM (SELECT user_id, ts, event_id, sum(CASE WHEN failed THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, island ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS failures
+    FROM (SELECT *, event_type IN ('error', 'click', 'view') AS failed, sum(CASE WHEN event_type IN ('error', 'click', 'view') THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM events) x) y GROUP BY user_id""")
 def _(t):
     return recovery.breaker(t.events, "user_id", "ts", F.col("event_type").isin("error", "click", "view"), threshold=3, pause=3600)
 
@@ -419,11 +398,14 @@ def _(t):
     return t.narinfos.select("id", recovery.miss_decision(i % 2 == 0, i % 3 == 0, i % 5 == 0, i % 7 == 0, F.col("url").isNotNull()).alias("decision"))
 
 
-@query("q_readable", """SELECT i.id, coalesce((SELECT string_agg(CAST(dst AS VARCHAR), ',' ORDER BY CAST(dst AS VARCHAR)) FROM (SELECT DISTINCT src, dst FROM refs) r WHERE r.src = i.id), '') AS refs_ FROM narinfos i WHERE coalesce(i.url, '') <> ''""")
+@query("q_readable", """SELECT i.id, coalesce(r.refs_, '') AS refs_, coalesce(s.sigs, '') AS sigs FROM narinfos i
+  LEFT JOIN (SELECT src, string_agg(CAST(dst AS VARCHAR), ',' ORDER BY CAST(dst AS VARCHAR)) AS refs_ FROM (SELECT DISTINCT src, dst FROM refs) x GROUP BY src) r ON r.src = i.id
+  LEFT JOIN (SELECT narinfo_id, string_agg(signature, ',' ORDER BY signature) AS sigs FROM (SELECT DISTINCT * FROM signatures) y GROUP BY narinfo_id) s ON s.narinfo_id = i.id
+  WHERE coalesce(i.url, '') <> ''""")
 def _(t):
     references = t.refs.select(F.col("src").alias("narinfo_id"), F.col("dst").cast("string").alias("reference"))
-    out = recovery.readable(t.narinfos, references, references.limit(0).select("narinfo_id", F.col("reference").alias("signature")))
-    return out.select("id", F.array_join("references", ",").alias("refs_"))
+    out = recovery.readable(t.narinfos, references, t.signatures)
+    return out.select("id", F.array_join("references", ",").alias("refs_"), F.array_join("signatures", ",").alias("sigs"))
 
 
 @query("q_config_drift", "SELECT 'drift' AS state, 'avg: stored 65536, current 131072' AS message")
@@ -452,9 +434,12 @@ def _(t):
     return t.supplier.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("s_acctbal") >= 0).alias("healthy"))
 
 
-@query("q_row_parity", "SELECT (SELECT count(*) FROM narinfos) AS before, (SELECT count(*) + 1 FROM narinfos) AS after, (SELECT greatest(coalesce(max(id), 0), 0) + 1 FROM narinfos) AS next_id")
+@query("q_row_parity", "SELECT n AS before, n + 1 AS after, m + 1 AS next_id, true AS sound FROM (SELECT count(*) AS n, greatest(coalesce(max(id), 0), 0) AS m FROM narinfos) x")
 def _(t):
-    return t.narinfos.agg(F.count(F.lit(1)).alias("before"), (F.count(F.lit(1)) + 1).alias("after"), (F.greatest(F.coalesce(F.max("id"), F.lit(0)), F.lit(0)) + 1).alias("next_id"))
+    old = t.narinfos.select("id", "hash", "url")
+    after = dml.insert(old, t._spark.range(1).select(F.lit(0).cast("bigint").alias("id"), F.lit("sentinel").alias("hash"), F.lit(None).cast("string").alias("url")))
+    counts = old.agg(F.count(F.lit(1)).alias("before")).crossJoin(after.agg(F.count(F.lit(1)).alias("after"), (F.greatest(F.max("id"), F.lit(0)) + 1).alias("next_id")))
+    return counts.withColumn("sound", F.col("after") == F.col("before") + 1)
 
 
 @query("x_cube", "SELECT compression, total_chunks, count(*) AS n FROM nar_files GROUP BY CUBE (compression, total_chunks)")

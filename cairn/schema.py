@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -63,3 +63,21 @@ def violations(tables: dict[str, DataFrame]) -> DataFrame:
         checks += [(f"not negative {name}({c})", df.where(F.col(c) < 0)) for c in NOT_NEGATIVE.get(name, [])]
         checks += [(f"not empty {name}({c})", df.where((F.col(c) == "") | F.col(c).isNull())) for c in NOT_EMPTY.get(name, [])]
     return reduce(DataFrame.unionByName, [d.agg(F.lit(rule).alias("rule"), F.count(F.lit(1)).alias("n")) for rule, d in checks])
+
+
+def differences(spark, declared: T.StructType, actual: T.StructType) -> DataFrame:
+    """column, declared and actual type (null where it is missing) of each column in which two schemas differ."""
+    kinds = [{f.name: f.dataType.simpleString() for f in s.fields} for s in (declared, actual)]
+    rows = [(c, kinds[0].get(c), kinds[1].get(c)) for c in sorted(kinds[0].keys() | kinds[1].keys()) if kinds[0].get(c) != kinds[1].get(c)]
+    return spark.createDataFrame(rows, "column string, declared string, actual string")
+
+
+def rebuilt(old: DataFrame, schema: T.StructType, mapping: dict[str, Column]) -> DataFrame:
+    """A table copied into a new shape: mapped columns, then those of the same name, each cast; others null."""
+    value = lambda f: mapping.get(f.name, F.col(f.name) if f.name in old.columns else F.lit(None))
+    return old.select(*[value(f).cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
+def pending(known: DataFrame, applied: DataFrame) -> DataFrame:
+    """Versions that are known and not yet applied."""
+    return known.select("version").distinct().join(applied.select("version"), "version", "left_anti")

@@ -15,14 +15,22 @@ def listing(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     return files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
 
-def archives(spark: SparkSession, folder: str) -> DataFrame:
-    """hash, compression, size of stored archives; names that are none are passed over."""
-    rows = listing(spark, folder).withColumn("p", parsed(F.col("name"))).where("p is not null")
+def archives(objects: DataFrame) -> DataFrame:
+    """hash, compression, size, path of stored archives, of a listing() or an inventory (path, size); names that are none are
+    passed over."""
+    rows = objects.withColumn("p", parsed(F.element_at(F.split("path", "/"), -1))).where("p is not null")
     return rows.select("p.hash", "p.compression", "size", "path")
 
 
-def chunk_objects(spark: SparkSession, folder: str) -> DataFrame:
-    return listing(spark, folder).select(F.col("name").alias("hash"), "size", "path")
+def chunk_objects(objects: DataFrame) -> DataFrame:
+    """hash, size, path of stored chunks: every name is a hash."""
+    return objects.select(F.element_at(F.split("path", "/"), -1).alias("hash"), "size", "path")
+
+
+def narinfo_objects(objects: DataFrame) -> DataFrame:
+    """hash, size, path of stored narinfos."""
+    name = F.element_at(F.split("path", "/"), -1)
+    return objects.where(name.endswith(".narinfo")).select(F.regexp_replace(name, r"\.narinfo$", "").alias("hash"), "size", "path")
 
 
 def contents(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:

@@ -1,86 +1,121 @@
-"""Streams: staging parts, touches and breakers as stateful operators; windows and watermarks as extensions."""
+"""Streams: staging parts, touches and breakers as stateful operators; windows and watermarks as extensions.
+
+Every state has an end: keys that see no event for a while, measured by the watermark, are forgotten, and events later than the
+watermark allows are passed over. Within a batch a key's events are taken in order of time; an event that comes in a later batch
+than one after it, but within the watermark, is taken when it comes.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..shared import shared_folder
+
+LATE, IDLE = "1 hour", 7 * 86400
+
 
 def file_stream(spark, path: str, schema, most_files: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", most_files).parquet(path)
 
 
-def run_once(df: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """All that is there now, into a table in memory: for tests and small results."""
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_once(df: DataFrame, what: str, mode: str) -> DataFrame:
+    """All that is there now, as Parquet in the shared folder, a folder for each batch; a batch that is run again replaces its own."""
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/cairn-{what}-{uuid.uuid4().hex}"
+    spark.createDataFrame([], df.schema).write.parquet(f"{folder}/rows/batch=-1")
+
+    def put(rows: DataFrame, n: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/rows/batch={n}")
+
+    q = df.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return df.sparkSession.table(name)
+    return spark.read.schema(df.schema).parquet(f"{folder}/rows").select(*df.columns)
+
 
+def _walked(log: DataFrame, key: str, at: str, fields: str, state: str, step: Callable, late: str, idle: int) -> DataFrame:
+    """step(key, rows in order of time, state or None) gives a row of fields and the new state; states idle for so many seconds go."""
+    stamped = log.withColumn("_at", F.col(at).cast("timestamp")).withWatermark("_at", late)
+    names = [key, *(x.split()[0] for x in fields.split(", "))]
+
+    def run(k: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
+        rows = pd.concat(list(batches)).sort_values("_at", kind="stable")
+        row, new = step(k[0], rows, held.get if held.exists else None)
+        held.update(new)
+        last = int(rows["_at"].max().timestamp() * 1000)
+        held.setTimeoutTimestamp(max(last + idle * 1000, held.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({n: [v] for n, v in zip(names, (k[0], *row))})
 
-def touches(log: DataFrame, key: str, at: str, seconds: int = 300) -> DataFrame:
+    kind = log.schema[key].dataType.simpleString()
+    return stamped.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, {fields}", state, "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def touches(log: DataFrame, key: str, at: str, seconds: int = 300, late: str = LATE, idle: int = IDLE) -> DataFrame:
     """key, accepted, last so far, as each batch changes them: an access counts if more than so many seconds after the last
-    accepted one. A batch's accesses of a key are taken in order of time."""
+    accepted one."""
 
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, last = state.get if state.exists else (0, None)
-        for t in sorted(x for b in batches for x in b[at]):
+    def step(k, rows: pd.DataFrame, state: tuple | None) -> tuple[tuple, tuple]:
+        n, last = state or (0, None)
+        for t in rows[at]:
             now = t.value // 1000
             if last is None or now - last > seconds * 1_000_000:
                 n, last = n + 1, now
-        state.update((n, last))
-        yield pd.DataFrame({key: [k[0]], "accepted": [n], "last": [pd.Timestamp(last, unit="us")]})
+        return (n, pd.Timestamp(last, unit="us")), (n, last)
 
-    kind = log.schema[key].dataType.simpleString()
-    return log.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, accepted long, last timestamp_ntz", "n long, last long", "update", GroupStateTimeout.NoTimeout)
+    return _walked(log, key, at, "accepted long, last timestamp_ntz", "n long, last long", step, late, idle)
 
 
-def staging(events: DataFrame, key: str = "hash", status: str = "status") -> DataFrame:
+def staging(events: DataFrame, key: str, status: str, at: str, late: str = LATE, idle: int = IDLE) -> DataFrame:
     """key, status after each batch: requested, staging, complete, never backwards."""
     order = ["requested", "staging", "complete"]
 
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rank = state.get[0] if state.exists else -1
-        rank = max([rank, *(order.index(x) for b in batches for x in b[status] if x in order)])
-        state.update((rank,))
-        yield pd.DataFrame({key: [k[0]], status: [order[rank] if rank >= 0 else None]})
+    def step(k, rows: pd.DataFrame, state: tuple | None) -> tuple[tuple, tuple]:
+        rank = max([state[0] if state else -1, *(order.index(x) for x in rows[status] if x in order)])
+        return (order[rank] if rank >= 0 else None,), (rank,)
 
-    kind = events.schema[key].dataType.simpleString()
-    return events.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {status} string", "rank int", "update", GroupStateTimeout.NoTimeout)
+    return _walked(events, key, at, f"{status} string", "rank int", step, late, idle)
 
 
-def breakers(log: DataFrame, key: str, at: str, failed: str, threshold: int = 5) -> DataFrame:
-    """key, failures in a row and open after each batch."""
+def breakers(log: DataFrame, key: str, at: str, failed: str, threshold: int = 5, late: str = LATE, idle: int = IDLE, then: str | None = None) -> DataFrame:
+    """key, failures in a row and open after each batch. then: what orders events of one time."""
 
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n = state.get[0] if state.exists else 0
-        rows = pd.concat(list(batches)).sort_values(at)
-        for bad in rows[failed]:
+    def step(k, rows: pd.DataFrame, state: tuple | None) -> tuple[tuple, tuple]:
+        n = state[0] if state else 0
+        for bad in rows.sort_values(["_at", *([then] if then else [])], kind="stable")[failed]:
             n = n + 1 if bad else 0
-        state.update((n,))
-        yield pd.DataFrame({key: [k[0]], "failures": [n], "open": [n >= threshold]})
+        return (n, n >= threshold), (n,)
 
-    kind = log.schema[key].dataType.simpleString()
-    return log.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, failures long, open boolean", "n long", "update", GroupStateTimeout.NoTimeout)
+    return _walked(log, key, at, "failures long, open boolean", "n long", step, late, idle)
 
 
-def progressive(chunks: DataFrame, key: str = "nar_file_id") -> DataFrame:
-    """key, ready: how many chunks from the first on are there without a gap, after each batch."""
+def progressive(chunks: DataFrame, key: str = "nar_file_id", stall: int = 30) -> DataFrame:
+    """key, ready, stalled: how many chunks from the first on are there without a gap, after each batch; stalled once none came
+    for so many seconds, after which the key is forgotten."""
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         ready, ahead = (state.get[0], set(state.get[1])) if state.exists else (0, set())
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame({key: [k[0]], "ready": [ready], "stalled": [True]})
+            return
         ahead |= {int(x) for b in batches for x in b["chunk_index"] if x >= ready}
         while ready in ahead:
             ahead.discard(ready)
             ready += 1
         state.update((ready, sorted(ahead)))
-        yield pd.DataFrame({key: [k[0]], "ready": [ready]})
+        state.setTimeoutDuration(stall * 1000)
+        yield pd.DataFrame({key: [k[0]], "ready": [ready], "stalled": [False]})
 
     kind = chunks.schema[key].dataType.simpleString()
-    return chunks.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, ready long", "ready long, ahead array<long>", "update", GroupStateTimeout.NoTimeout)
+    return chunks.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, ready long, stalled boolean", "ready long, ahead array<long>", "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def windowed(log: DataFrame, at: str, width: str, late: str, *keys: str) -> DataFrame:

@@ -22,9 +22,10 @@ def test_stored_objects(spark, tmp_path):
     (tmp_path / "nar" / "0" / "readme").write_bytes(b"x")
     (tmp_path / "info").mkdir()
     (tmp_path / "info" / "abc.narinfo").write_text(TEXT)
-    found = storage.archives(spark, str(tmp_path / "nar")).select("hash", "compression", "size").collect()
+    found = storage.archives(storage.listing(spark, str(tmp_path / "nar"))).select("hash", "compression", "size").collect()
     assert [tuple(r) for r in found] == [(H, "xz", 3)]
-    assert {r["hash"] for r in storage.chunk_objects(spark, str(tmp_path / "nar")).collect()} == {f"{H}.nar.xz", "readme"}
+    assert {r["hash"] for r in storage.chunk_objects(storage.listing(spark, str(tmp_path / "nar"))).collect()} == {f"{H}.nar.xz", "readme"}
+    assert [r["hash"] for r in storage.narinfo_objects(storage.listing(spark, str(tmp_path))).collect()] == ["abc"]
     assert bytes(storage.contents(spark, str(tmp_path / "nar"), "readme").first()["content"]) == b"x"
     r = storage.parsed_narinfos(storage.narinfo_texts(spark, str(tmp_path / "info"))).first()
     assert (r["hash"], r["url"], r["file_size"], r["nar_size"], r["references"], r["signatures"]) == ("abc", f"nar/{H}.nar.xz", 12, 34, ["abc-hello", "def-lib"], ["k1:aa", "k2:bb"])
