@@ -51,27 +51,37 @@ class Tree:
 
     def __init__(self, root: str, level: int, nodes: np.ndarray, first: np.ndarray, digest: np.ndarray, rank: np.ndarray, of: np.ndarray):
         self.root, self.level, self.nodes, self.first, self.digest, self.rank, self.of = root, level, nodes, first, digest, rank, of
+        self._sections = None
 
     def raised(self, level: int) -> Tree:
         """The same tree with leaves of a higher level."""
         digest, rank, of = self.digest, self.rank, self.of
         for k in range(self.level + 1, level + 1):
             digest, rank, of = merged(digest, rank, of, k)
-        return Tree(self.root, max(level, self.level), self.nodes, self.first, digest, rank, of)
+        out = Tree(self.root, max(level, self.level), self.nodes, self.first, digest, rank, of)
+        out._sections = self._sections
+        return out
 
-    def sections(self) -> np.ndarray:
-        """Nodes of the sections, and where they begin, in paragraphs."""
-        starts = np.flatnonzero(self.first)
-        order = np.arange(len(self.nodes)) - np.repeat(starts, np.diff(np.append(starts, len(self.nodes))))
-        return mixed(np.add.reduceat(mixed(self.nodes.astype(np.uint64) + order.astype(np.uint64) * GOLD), starts)), starts
+    def sections(self) -> tuple[np.ndarray, np.ndarray]:
+        """Nodes of the sections, and where they begin, in paragraphs, with the end behind."""
+        if self._sections is None:
+            starts = self.first.nonzero()[0]
+            bounds = np.concatenate([starts, [len(self.nodes)]])
+            order = np.arange(len(self.nodes)) - np.repeat(starts, bounds[1:] - starts)
+            self._sections = mixed(np.add.reduceat(mixed(self.nodes.astype(np.uint64) + order.astype(np.uint64) * GOLD), starts)), bounds
+        return self._sections
 
 
 def merged(digest: np.ndarray, rank: np.ndarray, of: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Leaves of one level from those of the level below: runs that end at a rank of level or more, or with the paragraph."""
     if not len(digest):
         return digest, rank, of
-    ends = np.flatnonzero((rank >= level) | np.append(of[1:] != of[:-1], True))
-    starts = np.append(0, ends[:-1] + 1)
+    last = rank >= level
+    last[:-1] |= of[1:] != of[:-1]
+    last[-1] = True
+    ends = last.nonzero()[0]
+    starts = np.empty_like(ends)
+    starts[0], starts[1:] = 0, ends[:-1] + 1
     order = np.arange(len(digest)) - np.repeat(starts, ends - starts + 1)
     total = np.add.reduceat(mixed(digest + order.astype(np.uint64) * GOLD + np.uint64(level)), starts)
     return mixed(total) >> DIGEST, rank[ends], of[ends]
@@ -122,8 +132,25 @@ def parsed(fingerprint: str) -> Tree:
     return Tree(root, raw[0], nodes & np.uint32(0x3FFFFFFF), (nodes >> np.uint32(30) & np.uint32(1)).astype(bool), (leaves >> np.uint32(6)).astype(np.uint64), leaves >> np.uint32(1) & RANK, of)
 
 
+def _left(x: list, y: list) -> np.ndarray:
+    """Of a few elements the same: each of x takes one of its value in y."""
+    free: dict = {}
+    for v in y:
+        free[v] = free.get(v, 0) + 1
+    out = np.zeros(len(x), bool)
+    if free.keys() & set(x):
+        for k, v in enumerate(x):
+            if n := free.get(v):
+                free[v] = n - 1
+                out[k] = True
+    return out
+
+
 def _common(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which elements have a partner in the other array, the k-th of a value with the k-th."""
+    if len(a) + len(b) < 500:
+        x, y = a.tolist(), b.tolist()
+        return _left(x, y), _left(y, x)
     both = np.concatenate([a, b])
     if not len(both):
         return np.empty(0, bool), np.empty(0, bool)
@@ -144,11 +171,12 @@ def likeness(a: Tree, b: Tree) -> float:
     """1 for equal roots; else the paragraphs and leaves in common over their mean number, by walking the branches that differ."""
     if a.root == b.root:
         return 1.0
-    level = max(a.level, b.level)
-    a, b = a.raised(level), b.raised(level)
     (x, p), (y, q) = a.sections(), b.sections()
+    if a.level != b.level:
+        level = max(a.level, b.level)
+        a, b = a.raised(level), b.raised(level)
     size = len(a.nodes) + len(a.digest) + len(b.nodes) + len(b.digest)
-    same = [np.repeat(hit, np.diff(np.append(starts, len(t.nodes)))) for hit, starts, t in zip(_common(x, y), (p, q), (a, b))]
+    same = [np.repeat(hit, bounds[1:] - bounds[:-1]) for hit, bounds in zip(_common(x, y), (p, q))]
     rest = [np.flatnonzero(~s) for s in same]
     for s, r, hit in zip(same, rest, _common(a.nodes[rest[0]], b.nodes[rest[1]])):
         s[r[hit]] = True
@@ -173,7 +201,6 @@ def located(a: Tree, b: Tree) -> tuple[int, int, int, int] | None:
     (x, p), (y, q) = a.sections(), b.sections()
     front = lead(x, y)
     back = min(lead(x[::-1], y[::-1]), min(len(x), len(y)) - front)
-    p, q = np.append(p, len(a.nodes)), np.append(q, len(b.nodes))
     i, j, k, m = int(p[front]), int(p[len(x) - back]), int(q[front]), int(q[len(y) - back])
     u, v = a.nodes[i:j], b.nodes[k:m]
     inner = lead(u, v)
