@@ -5,7 +5,7 @@ kept, so 64 functions give 128 values, each pair of sets agreeing in each with a
 five values make buckets. Equal sets are one class from the start, so copies never meet in a bucket.
 
 Links are confirmed on the full sets. In each bucket one class is the pivot and all others are compared with it; what is then
-in one component needs no further comparison. Buckets of more than a block that still hold several components get further
+in one component needs no further comparison. Buckets of more than eight blocks that still hold several components get further
 pivots, each compared with all members of other components, as long as that finds links. Where a bucket then still holds
 several components, its members are compared across them, block by block, by their 128 values, and pairs that may reach the
 threshold are confirmed in the same way. No cap is set on buckets or partners. With 25 bands of five, a pair at similarity 0.85
@@ -36,6 +36,7 @@ shipped(__name__)
 
 SHINGLE, FUNCTIONS = 5, 64
 BLOCK = 1024
+PIVOTED = 8  # blocks of a bucket beyond which further pivots come first: up to it, no member is compared in more than 8 blocks
 _draw = np.random.default_rng(20240501)
 FACTORS = _draw.integers(0, 2**63, FUNCTIONS, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -135,11 +136,22 @@ def full_sets(involved: DataFrame, classes: DataFrame, docs: DataFrame, member:
     ids = chosen.select(F.col("doc_id").alias("_id")).distinct()
     texts = docs.select("doc_id", "text").join(near(ids, n), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     found = texts.mapInArrow(sets, "h binary, set binary").join(near(chosen.select("cls", "h"), n), "h").select("cls", "set")
-    out = staged(found.dropDuplicates(["cls"]), "sets")
+    out = staged_sets(found.dropDuplicates(["cls"]), "sets")
     dropped(chosen)
     return out
 
 
+def staged_sets(df: DataFrame, what: str, rows: int = 500) -> DataFrame:
+    """staged(), with few rows an Arrow batch: they carry whole sets, which for very long texts are large."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = conf.get(name)
+    conf.set(name, str(min(rows, int(usual)) if int(usual) > 0 else rows))
+    try:
+        return staged(df, what)
+    finally:
+        conf.set(name, usual)
+
+
 def reaches(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     both = np.sort(np.concatenate([x, y]))
     shared = int((both[1:] == both[:-1]).sum())
@@ -158,7 +170,7 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, member: Dat
             keep = pa.array([reaches(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in zip(batch.column("sa"), batch.column("sb"))], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
-    out = staged(both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long"), "links")
+    out = staged_sets(both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long"), "links")
     dropped(involved, full)
     return out
 
@@ -171,8 +183,8 @@ def undecided(members: DataFrame, component: DataFrame) -> DataFrame:
     return staged(m.join(several, "key", "left_semi").select("key", "cls", "c", "component"), "undecided")
 
 
-def star(members: DataFrame, draw: int) -> DataFrame:
-    """Pairs (a, b) of each bucket's pivot, drawn by a hash, and its members of other components (all, where none is known)."""
+def further(members: DataFrame, draw: int) -> DataFrame:
+    """Pairs (a, b) of each bucket's pivot, drawn by a hash, and its members of other components."""
     least = F.min(F.struct(F.xxhash64("cls", "key", F.lit(draw)), "cls", "component"))
     pivots = members.groupBy("key").agg(least.alias("p")).select("key", F.col("p.cls").alias("pivot"), F.col("p.component").alias("its"))
     pairs = members.join(pivots, "key").where("cls <> pivot and component <> its")
@@ -190,7 +202,7 @@ def across(members: DataFrame, component: DataFrame, classes: DataFrame, docs: D
     values = classes.select("cls", "n_shingles", "sketch", "keys")
     possible = staged(_dealt(m.join(values, "cls"), []).mapInArrow(_compared(percent, exact=False), "cls long").distinct(), "possible")
     full = full_sets(possible, classes, docs, of_row)
-    out = staged(_dealt(m.join(values, "cls").join(full, "cls"), ["set"]).mapInArrow(_compared(percent, exact=True), "a long, b long").distinct(), "across")
+    out = staged_sets(_dealt(m.join(values, "cls").join(full, "cls"), ["set"]).mapInArrow(_compared(percent, exact=True), "a long, b long").distinct(), "across")
     dropped(m, possible, full)
     return out
 
@@ -277,18 +289,22 @@ def classes_linked(docs: DataFrame, percent: int = 85) -> tuple[DataFrame, DataF
     # a class has a number of its own, so no two sets share one
     classes = full.groupBy("h").agg(*[F.first(c).alias(c) for c in ("n_shingles", "keys", "sketch")])
     classes = staged(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
-    of_row = staged(full.select("doc_id", "h").join(classes.select("h", "cls"), "h").select("doc_id", "cls"), "members")
+    out = staged(signed.select("doc_id", "n_shingles", "h").join(classes.select("h", "cls"), "h", "left").select("doc_id", "n_shingles", "cls"), "rows")
+    of_row = out.where("cls is not null").select("doc_id", "cls")
     rows = classes.select("cls", F.explode("keys").alias("key"))
-    buckets = staged(rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "buckets")
+    pivot = F.min(F.struct(F.xxhash64("cls", "key"), "cls"))["cls"].alias("pivot")
+    buckets = staged(rows.groupBy("key").agg(F.count(F.lit(1)).alias("c"), pivot).where("c > 1"), "buckets")
     members = staged(rows.join(near(buckets, buckets.count()), "key"), "buckets")
-    first = staged(scored(star(members.withColumn("component", F.col("cls")), 0), classes, percent), "star")
+    star = members.where("cls <> pivot").select(F.least("pivot", "cls").alias("a"), F.greatest("pivot", "cls").alias("b")).distinct()
+    first = staged(scored(star, classes, percent), "star")
     links = confirmed(first, classes, docs, of_row, percent)
     found, draw = staged(components(links), "components"), 0
-    while True:
-        # buckets of several blocks: further pivots while they find links
-        large = undecided(members.where(F.col("c") > BLOCK), found)
+    many = F.col("c") > PIVOTED * BLOCK
+    while not buckets.where(many).isEmpty():
+        # buckets of many blocks: further pivots while they find links
+        large = undecided(members.where(many), found)
         draw += 1
-        pairs = staged(scored(star(large, draw), classes, percent), "star")
+        pairs = staged(scored(further(large, draw), classes, percent), "star")
         more = confirmed(pairs, classes, docs, of_row, percent) if not pairs.isEmpty() else pairs
         dropped(large)
         if more.isEmpty():
@@ -298,9 +314,7 @@ def classes_linked(docs: DataFrame, percent: int = 85) -> tuple[DataFrame, DataF
     more = across(members, found, classes, docs, of_row, percent)
     if not more.isEmpty():
         found = staged(components(links.unionByName(more)), "components")
-    out = signed.select("doc_id", "n_shingles", "h").join(classes.select("h", "cls"), "h", "left").select("doc_id", "n_shingles", "cls")
-    out = staged(out, "rows")
-    dropped(signed, classes, buckets, members, first, more, of_row)
+    dropped(signed, classes, buckets, members, first, more)
     return out, found
 
 
