@@ -78,7 +78,7 @@ def test_near_duplicates_of_odd_rows(spark, edge, empty):
     by = {}
     for r in out:
         by.setdefault(r["doc_id"], []).append((r["n_shingles"], r["component_id"], r["kept"]))
-    assert by[0] == by[1] == [(0, by[0][0][1], True)] or (by[0], by[1], by[2]) == ([(0, 0, True)], [(0, 1, True)], [(0, 2, True)])
+    assert (by[0], by[1], by[2]) == ([(0, 0, True)], [(0, 1, True)], [(0, 2, True)])
     assert by[3] == [(1, 3, True)] and by[6] == [(2, 5, False)] and sorted(by[5]) == [(1, 5, True), (2, 5, True), (2, 5, True)]
     assert by[None] == [(1, None, True)]
 
