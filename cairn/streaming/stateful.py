@@ -1,7 +1,7 @@
 """Streams: staging parts, touches and breakers as stateful operators; windows and watermarks as extensions.
 
-Every state has an end: keys that see no event for a while, measured by the watermark, are forgotten, and events later than the
-watermark allows are passed over. Within a batch a key's events are taken in order of time; an event that comes in a later batch
+States end: keys that see no event for a while, measured by the watermark, are forgotten, and events later than the watermark
+allows are passed over. Within a batch a key's events are taken in order of time; an event that comes in a later batch
 than one after it, but within the watermark, is taken when it comes.
 """
 
@@ -96,9 +96,10 @@ def breakers(log: DataFrame, key: str, at: str, failed: str, threshold: int = 5,
     return _walked(log, key, at, "failures long, open boolean", "n long", step, late, idle)
 
 
-def progressive(chunks: DataFrame, key: str = "nar_file_id", stall: int = 30) -> DataFrame:
-    """key, ready, stalled: how many chunks from the first on are there without a gap, after each batch; stalled once none came
-    for so many seconds, after which the key is forgotten."""
+def progressive(chunks: DataFrame, key: str = "nar_file_id", at: str | None = None, stall: int = 30, late: str = LATE) -> DataFrame:
+    """key, ready, stalled: how many chunks from the first on are there without a gap, after each batch. With at, the time of a
+    chunk, a key is stalled once the watermark is so many seconds past its last one, and then forgotten; without it every key is
+    kept, for runs over what is there."""
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         ready, ahead = (state.get[0], set(state.get[1])) if state.exists else (0, set())
@@ -106,16 +107,24 @@ def progressive(chunks: DataFrame, key: str = "nar_file_id", stall: int = 30) ->
             state.remove()
             yield pd.DataFrame({key: [k[0]], "ready": [ready], "stalled": [True]})
             return
-        ahead |= {int(x) for b in batches for x in b["chunk_index"] if x >= ready}
+        last = 0
+        for b in batches:
+            ahead |= {int(x) for x in b["chunk_index"] if x >= ready}
+            if at:
+                last = max(last, int(b["_at"].max().timestamp() * 1000))
         while ready in ahead:
             ahead.discard(ready)
             ready += 1
         state.update((ready, sorted(ahead)))
-        state.setTimeoutDuration(stall * 1000)
+        if at:
+            state.setTimeoutTimestamp(max(last + stall * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({key: [k[0]], "ready": [ready], "stalled": [False]})
 
     kind = chunks.schema[key].dataType.simpleString()
-    return chunks.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, ready long, stalled boolean", "ready long, ahead array<long>", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    if at:
+        chunks = chunks.withColumn("_at", F.col(at).cast("timestamp")).withWatermark("_at", late)
+    limit = GroupStateTimeout.EventTimeTimeout if at else GroupStateTimeout.NoTimeout
+    return chunks.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, ready long, stalled boolean", "ready long, ahead array<long>", "update", limit)
 
 
 def windowed(log: DataFrame, at: str, width: str, late: str, *keys: str) -> DataFrame:
