@@ -5,7 +5,9 @@ crosses; this is checked against the vocabulary when it is loaded, and where it
 in one segment cannot touch another, so each distinct segment is encoded once per worker and remembered (the memory is
 emptied at a bound). Each Arrow batch's new segments are compared with the sentencepiece library's own ids.
 
-Null and empty texts: the end id alone, decoded to an empty text. Repeated rows give equal rows. Extra columns are not read.
+Null and empty texts: the end id alone, decoded to an empty text. Very long texts are encoded whole. Of pairs with equal scores the
+leftmost is merged first, as the library does. Repeated rows give equal rows, an empty table an empty result. Extra columns are
+not read.
 """
 
 from __future__ import annotations

@@ -5,7 +5,8 @@ a word counts its greedy (longest piece first) word pieces without building them
 begin words, all others continue them. A word that the pieces cannot cover counts as one unknown token.
 
 Words are runs of anything but ASCII white space. Null or empty texts and texts of white space have no words and no tokens.
-Equal texts have equal counts; extra columns are not read. Words of any length are taken whole.
+Repeated rows are each counted and equal texts have equal counts, so there are no ties. Very long texts and words of any length
+are taken whole. An empty table gives an empty result. Extra columns are not read.
 """
 
 from __future__ import annotations
