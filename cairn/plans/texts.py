@@ -76,6 +76,16 @@ def _(t):
     return t.narinfos.select("id", "hash", base32.alias("b")).select("id", text.alias("x"), "b").select("id", hashing.digest_to_hex(F.col("x")).alias("digest"), F.length("b").alias("digits"))
 
 
+RANK = "CASE {} WHEN 'requested' THEN 1 WHEN 'staging' THEN 2 ELSE 3 END"
+
+
+@query("q_staging_advanced", f"""SELECT hash, CASE WHEN {RANK.format("event")} > {RANK.format("status")} THEN event ELSE status END AS status
+  FROM (SELECT hash, status, CASE CAST(substr(hash, 2) AS INTEGER) % 2 WHEN 0 THEN 'staging' ELSE 'requested' END AS event FROM staging_states) x""")
+def _(t):
+    event = F.when(F.substring("hash", 2, 20).cast("int") % 2 == 0, "staging").otherwise("requested")
+    return t.staging_states.select("hash", recovery.staging_advanced(F.col("status"), event).alias("status"))
+
+
 @query("q_retriable", "SELECT id, id % 4 IN (0, 1) AS again FROM narinfos")
 def _(t):
     message = _pick("id", "read: connection reset by peer", "http2: server sent GOAWAY and closed", "404 not found", F.lit(None).cast("string"))

@@ -54,6 +54,23 @@ def missing_parents(child: DataFrame, column: str, parent: DataFrame) -> DataFra
     return child.join(parent.select(F.col("id").alias(column)), column, "left_anti")
 
 
+class ConstraintError(ValueError):
+    """A key that is not unique, or a parent that is missing."""
+
+
+class ValidationError(ValueError):
+    """A value that its column may not hold."""
+
+
+def checked(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The tables, or an error that names the rules broken and how often: for the edge of an API, as it runs the checks."""
+    broken = {r["rule"]: r["n"] for r in violations(tables).where("n > 0").collect()}
+    if broken:
+        keys = [rule for rule in broken if rule.startswith(("unique", "parent"))]
+        raise (ConstraintError if keys else ValidationError)(", ".join(f"{rule}: {n}" for rule, n in sorted(broken.items())))
+    return tables
+
+
 def violations(tables: dict[str, DataFrame]) -> DataFrame:
     """rule and n: one row for each integrity rule of the given tables, n the number of violations."""
     checks = []

@@ -124,6 +124,27 @@ def test_mutations(spark):
     assert {r["rule"]: r["n"] for r in found.collect()} == {"unique pinned_closures(hash)": 1, "not empty pinned_closures(hash)": 1}
 
 
+def test_broken_rules_raise(spark):
+    pins = lambda *rows: {"pinned_closures": spark.createDataFrame(list(rows), "id long, hash string")}
+    assert schema.checked(pins((1, "a"), (2, "b")))
+    with pytest.raises(schema.ConstraintError, match="unique"):
+        schema.checked(pins((1, "a"), (2, "a")))
+    with pytest.raises(schema.ValidationError, match="not empty"):
+        schema.checked(pins((1, "")))
+
+
+def test_single_row_or_failure(spark):
+    q = relational.Query(spark.range(3))
+    assert q.where(F.col("id") == 1).single().collect()[0]["id"] == 1
+    for wrong in (q, q.where(F.lit(False))):
+        with pytest.raises(Exception, match="not (found|singular)"):
+            wrong.single().collect()
+    with pytest.raises(Exception, match="not found"):
+        recovery.config_value(spark.createDataFrame([("a", "1")], "key string, value string"), "b").collect()
+    with pytest.raises(RuntimeError, match="deeper"):
+        graph.closure(spark.createDataFrame([(0,)], "node long"), spark.range(40).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")), most_levels=10)
+
+
 def test_builder_errors(spark):
     q = relational.Query(spark.range(3))
     assert q.where(F.col("id") == 1).only()["id"] == 1 and q.first_row()["id"] == 0
@@ -169,5 +190,10 @@ def test_codecs(spark):
     df = spark.createDataFrame([(k, bytearray(c)) for k, c in rows], "k string, c binary")
     got = [bytes(r[0]) for r in df.select(chunks.decompressed(F.col("c"), F.col("k"))).collect()]
     assert got == [raw] * 4 + [b"not xz"]
+    two = zstandard.ZstdCompressor().compress(raw) + zstandard.ZstdCompressor().compress(b"more")
+    odd = [("zstd", two), ("", raw), ("zstd", two[:-3]), ("bzip2", bz2.compress(raw)[:-5]), ("xz", lzma.compress(raw)[:-8]), ("bzip2", bz2.compress(raw) + bz2.compress(b"x")), ("br", raw), ("rar", raw), (None, raw), ("xz", None)]
+    rows = spark.createDataFrame([(k, None if c is None else bytearray(c)) for k, c in odd], "k string, c binary").select(chunks.decoded(F.col("c"), F.col("k")).alias("d")).collect()
+    got = [(None if r["d"]["data"] is None else bytes(r["d"]["data"]), r["d"]["error"]) for r in rows]
+    assert got == [(raw + b"more", None), (raw, None), (None, "truncated zstd"), (None, "truncated bzip2"), (None, "truncated xz"), (raw + b"x", None), (None, "no decoder for br"), (None, "unsupported compression rar"), (raw, None), (None, None)]
     back = df.limit(1).select(chunks.decompressed(chunks.zstd_compressed(F.col("c")), F.lit("zstd"))).first()[0]
     assert bytes(back) == raw
