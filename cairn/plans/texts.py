@@ -61,10 +61,10 @@ def _(t):
     return t.narinfos.select("id", hashing.info_path(F.col("hash")).alias("info"), hashing.archive_path(F.sha2("hash", 256), urls.extension_of(F.col("compression"))).alias("archive"))
 
 
-@query("q_storage_keys", "SELECT id, '/nix/store/' || hash || '-name' AS path, CASE WHEN id % 2 = 0 THEN coalesce(nar_hash, '') ELSE '' END AS key FROM narinfos")
+@query("q_storage_keys", "SELECT id, '/store/' || hash || '-name' AS path, CASE WHEN id % 2 = 0 THEN coalesce(nar_hash, '') ELSE '' END AS key FROM narinfos")
 def _(t):
     marked = F.when(F.col("id") % 2 == 0, F.concat(F.lit("sha256:"), F.col("nar_hash"))).otherwise(F.col("nar_hash"))
-    return t.narinfos.select("id", hashing.store_path("/nix/store", F.concat("hash", F.lit("-name"))).alias("path"), hashing.storage_key(marked).alias("key"))
+    return t.narinfos.select("id", hashing.store_path("/store", F.concat("hash", F.lit("-name"))).alias("path"), hashing.storage_key(marked).alias("key"))
 
 
 @query("q_digests", "SELECT id, CASE id % 5 WHEN 4 THEN NULL ELSE sha256(hash) END AS digest, 52 AS digits FROM narinfos")
@@ -122,9 +122,9 @@ def _(t):
     return t.doc_files.join(done, "id", "left").select(F.col("id").alias("nar_file_id"), values.percent(values.or_zero(F.col("done")), F.col("total_chunks")).alias("percent"))
 
 
-@query("q_cache_info", """SELECT n_nationkey, CASE WHEN n_nationkey % 4 < 2 THEN '/nix/store' END AS store_dir, CASE n_nationkey % 4 WHEN 0 THEN true WHEN 1 THEN false END AS want_mass_query, CASE WHEN n_nationkey % 4 < 2 THEN CAST(n_nationkey AS BIGINT) END AS priority FROM nation""")
+@query("q_cache_info", """SELECT n_nationkey, CASE WHEN n_nationkey % 4 < 2 THEN '/store' END AS store_dir, CASE n_nationkey % 4 WHEN 0 THEN true WHEN 1 THEN false END AS want_mass_query, CASE WHEN n_nationkey % 4 < 2 THEN CAST(n_nationkey AS BIGINT) END AS priority FROM nation""")
 def _(t):
-    text = F.concat(F.lit("StoreDir: /nix/store\nWantMassQuery: "), _pick("n_nationkey", "1", "0", "2", "1"), F.lit("\nPriority: "), F.col("n_nationkey").cast("string"), _pick("n_nationkey", "", "", "", "\nOther: x"))
+    text = F.concat(F.lit("StoreDir: /store\nWantMassQuery: "), _pick("n_nationkey", "1", "0", "2", "1"), F.lit("\nPriority: "), F.col("n_nationkey").cast("string"), _pick("n_nationkey", "", "", "", "\nOther: x"))
     return t.nation.select("n_nationkey", values.cache_info(text).alias("c")).select("n_nationkey", "c.*")
 
 
