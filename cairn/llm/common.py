@@ -49,7 +49,7 @@ def vocabulary_bytes(path: str | None = None) -> bytes:
 class WordHashes(dict):
     """Word (bytes) -> 64-bit hash. Emptied when it grows past the bound, so memory stays bounded; results do not change."""
 
-    def __init__(self, bound: int = 300_000):
+    def __init__(self, bound: int = 100_000):
         super().__init__()
         self.bound = bound
 
@@ -86,8 +86,20 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes | None]:
     return batch.column(column).cast(pa.large_binary()).to_pylist()
 
 
+#: Rows of an Arrow batch of texts. Spark's own 10,000 would hold that many whole texts on both sides of each Python worker.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows an Arrow batch to BATCH_ROWS, where it has more."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def rows_mapped(df: DataFrame, of_texts: Callable[[], Callable[[list[bytes | None]], list[tuple]]], fields: str, keys: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """keys and what of_texts() makes of a batch of texts, a tuple for each, as columns named in fields ("a long, b string")."""
+    small_batches(df.sparkSession)
     df = df.select(*keys, *([] if text in keys else [text]))
     names = [x.split()[0] for x in fields.split(",")]
     schema = ", ".join([*(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys), fields])
@@ -108,6 +120,8 @@ def rows_mapped(df: DataFrame, of_texts: Callable[[], Callable[[list[bytes | Non
 def rows_filtered(df: DataFrame, of_texts: Callable[[], Callable[[list[bytes | None]], list[bool]]], text: str = "text") -> DataFrame:
     """The rows of df, all columns as they are, for whose text of_texts() says true."""
 
+    small_batches(df.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = of_texts()
         for batch in batches:

@@ -182,7 +182,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lang, text in zip(batch.column("lang").to_pylist(), texts_of(batch)):
             counts.update([(lang, w) for w in words_of(text)])
-            if len(counts) > 200_000:
+            if len(counts) > 100_000:
                 yield out()
                 counts.clear()
     if counts:
@@ -237,7 +237,7 @@ def smoothed(expected: np.ndarray, strength: float = 500.0) -> np.ndarray:
     return np.vstack([p * (1 - UNKNOWN), np.full((1, p.shape[1]), UNKNOWN)])
 
 
-def predictor(names: list[str], langs: list[str], p: np.ndarray, bound: int = 200_000):
+def predictor(names: list[str], langs: list[str], p: np.ndarray, bound: int = 100_000):
     """A function from texts to (lang_pred, score) pairs. bound: words a worker remembers."""
     lattice, known = Lattice(names), {}
     table = np.zeros((0, len(langs)))

@@ -30,7 +30,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -235,11 +235,27 @@ def leaned(found: DataFrame, prior_rows: float, most_broadcast: int) -> DataFram
     return out.mapInArrow(inverted, "g string, n long, center array<double>, spread array<double>, precision array<double>")
 
 
+def middles(rows: DataFrame, values: list[str], parts: int = 16) -> DataFrame:
+    """g and middle: each group's medians of P values (SQL), to a part of the least deviation that a statistic counts with. Counts
+    of bins, not values, are what a group holds."""
+    width = F.expr(f"array({', '.join(f'{w / parts}D' for w in STATISTICS.values())})")
+    each = rows.select("g", F.expr(f"posexplode(array({', '.join(values)})) as (c, v)"))
+    bins = each.groupBy("g", "c", F.floor(F.col("v") / F.get(width, F.col("c"))).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("g", "c").orderBy("bin")
+    upto, of = F.sum("n").over(order), F.sum("n").over(Window.partitionBy("g", "c"))
+    half = bins.withColumn("upto", upto).withColumn("of", of).where("2 * upto >= of").groupBy("g", "c").agg(F.min("bin").alias("bin"))
+    value = ((F.col("bin") + 0.5) * F.get(width, F.col("c"))).alias("v")
+    listed = F.sort_array(F.collect_list(F.struct("c", value)))
+    return half.groupBy("g").agg(F.transform(listed, lambda x: x["v"]).alias("middle"))
+
+
 def concentrated(rows: DataFrame, groups: int, share: float, falls: float, most_broadcast: int) -> DataFrame:
     """The estimate of least determinant for each group of rows (g and the vector's columns): g, n, center, spread, precision."""
-    medians = rows.groupBy("g").agg(F.expr(f"array({', '.join(f'percentile_approx({x}, 0.5, 10000)' for x in X)})").alias("m"))
-    apart = [f"greatest(percentile_approx(abs({x} - m[{i}]), 0.5, 10000) * 1.4826D, {w}D)" for i, (x, w) in enumerate(zip(X, STATISTICS.values()))]
-    apart = matched(rows, medians, groups, most_broadcast).groupBy("g").agg(F.max("m").alias("m"), F.expr(f"array({', '.join(apart)})").alias("d"))
+    medians = common.staged(middles(rows, X).withColumnRenamed("middle", "m"), "medians")
+    from_m = [f"abs({x} - m[{i}])" for i, x in enumerate(X)]
+    apart = middles(matched(rows, medians, groups, most_broadcast), from_m)
+    scale = ", ".join(f"greatest(middle[{i}] * 1.4826D, {w}D)" for i, w in enumerate(STATISTICS.values()))
+    apart = apart.join(medians, "g").select("g", "m", F.expr(f"array({scale})").alias("d"))
     apart = common.staged(apart, "apart")
     z = [f"(({x} - m[{i}]) / d[{i}]) as z{i}" for i, x in enumerate(X)]
     scaled = matched(rows, apart, groups, most_broadcast).selectExpr("g", "m", "d", *z)
@@ -249,7 +265,7 @@ def concentrated(rows: DataFrame, groups: int, share: float, falls: float, most_
     three = scaled.withColumn("norm", norm).select("g", "m", "d", turned.alias("t")).select("g", "m", "d", "t.*")
     sums = three.groupBy("g", "start").agg(*_sums([f"t{i}" for i in range(P)]), F.max("m").alias("m"), F.max("d").alias("d"))
     now = common.staged(sums.groupBy("g", "start").applyInArrow(_first, ESTIMATE), "estimate")
-    ended, used = [], [apart]
+    ended, used = [], [medians, apart]
     while True:
         near = matched(rows, now.select("g", "start", "center", "precision", F.col("logdet").alias("was")), groups, most_broadcast)
         binned = near.withColumn("bin", F.floor(F.log(_distance() + 1e-6) * BINS))
