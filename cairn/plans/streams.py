@@ -8,8 +8,14 @@ from ..streaming import stateful
 from .registry import query
 
 
+def _log(t, name: str):
+    """A base table as a stream, be it one file or a folder of files. A stream's path that is no pattern has to be a folder, hence
+    the brackets, which match one letter."""
+    return t._spark.readStream.schema(getattr(t, name).schema).parquet(f"{t._dir}/{name}.parque[t]")
+
+
 def _events(t):
-    return t._spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet").parquet(t._dir)
+    return _log(t, "events")
 
 
 @query("s_touch_stream", """WITH RECURSIVE log AS (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
@@ -42,8 +48,7 @@ def _(t):
 @query("s_progressive_stream", """SELECT conv_id AS nar_file_id, count(*) FILTER (WHERE turn = rn) AS ready FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS rn
   FROM conversations WHERE NOT (turn = 1 AND conv_id % 2 = 1)) x GROUP BY conv_id""")
 def _(t):
-    turns = t._spark.readStream.schema(t.conversations.schema).option("pathGlobFilter", "conversations.parquet").parquet(t._dir)
-    parts = turns.where("not (turn = 1 and conv_id % 2 = 1)").select(F.col("conv_id").alias("nar_file_id"), F.col("turn").alias("chunk_index"))
+    parts = _log(t, "conversations").where("not (turn = 1 and conv_id % 2 = 1)").select(F.col("conv_id").alias("nar_file_id"), F.col("turn").alias("chunk_index"))
     out = stateful.run_once(stateful.progressive(parts), "progressive", "update")
     return out.groupBy("nar_file_id").agg(F.max("ready").alias("ready"))
 
