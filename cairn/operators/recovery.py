@@ -39,11 +39,25 @@ def probed(files: DataFrame, links: DataFrame, probes: DataFrame) -> DataFrame:
     """nar_file_id and decision of files without backing: delete without a narinfo, or if each of its narinfos is absent
     from every healthy upstream, one at least; an unknown answer keeps it. probes: narinfo_id, status (a row for each healthy
     upstream)."""
-    absent = probes.groupBy("narinfo_id").agg((F.count_if(F.coalesce("status", F.lit("unknown")) != "absent") == 0).alias("gone"))
-    of = files.select(F.col("id").alias("nar_file_id")).join(links.select("nar_file_id", "narinfo_id"), "nar_file_id", "left").join(absent, "narinfo_id", "left")
-    here = F.count("narinfo_id")
-    all_gone = F.count_if(F.col("narinfo_id").isNotNull() & ~F.coalesce("gone", F.lit(False))) == 0
-    return of.groupBy("nar_file_id").agg(F.when(here == 0, "delete_linkless").when(all_gone, "delete_absent").otherwise("keep").alias("decision"))
+    return decided(files, links, probes.groupBy("narinfo_id").agg((F.count_if(F.coalesce("status", F.lit("unknown")) != "absent") == 0).alias("gone")))
+
+
+def absent(assets: DataFrame, upstreams: DataFrame, hits: DataFrame) -> DataFrame:
+    """narinfo_id and gone, as decided() reads them, of narinfos that ask every upstream of their class, without a row for each
+    narinfo and upstream. assets: narinfo_id, class; upstreams: class, answers (null: no); hits: narinfo_id of what an upstream
+    that answers has. A class without upstreams gives no row."""
+    heard = upstreams.groupBy("class").agg(F.every(F.coalesce("answers", F.lit(False))).alias("_heard"))
+    there = hits.select("narinfo_id").distinct().withColumn("_there", F.lit(True))
+    asked = assets.join(heard, "class").groupBy("narinfo_id").agg(F.every("_heard").alias("_heard"))
+    return asked.join(there, "narinfo_id", "left").select("narinfo_id", (F.col("_heard") & F.col("_there").isNull()).alias("gone"))
+
+
+def decided(files: DataFrame, links: DataFrame, absent: DataFrame) -> DataFrame:
+    """nar_file_id and decision as probed() has them, of narinfos (narinfo_id, gone) that were asked for."""
+    told = links.select("nar_file_id", "narinfo_id").where("narinfo_id is not null").join(absent, "narinfo_id", "left")
+    of = told.groupBy("nar_file_id").agg(F.count_if(~F.coalesce("gone", F.lit(False))).alias("_left"))
+    known = files.select(F.col("id").alias("nar_file_id")).distinct().join(of, "nar_file_id", "left")
+    return known.select("nar_file_id", F.when(F.col("_left").isNull(), "delete_linkless").when(F.col("_left") == 0, "delete_absent").otherwise("keep").alias("decision"))
 
 
 def narinfo_purge(links: DataFrame, ids: DataFrame) -> DataFrame:
