@@ -73,15 +73,35 @@ def touches(log: DataFrame, key: str, at: str, seconds: int = 300, late: str = L
     return _walked(log, key, at, "accepted long, last timestamp_ntz", "n long, last long", step, late, idle)
 
 
-def staging(events: DataFrame, key: str, status: str, at: str, late: str = LATE, idle: int = IDLE) -> DataFrame:
-    """key, status after each batch: requested, staging, complete, never backwards."""
+def staging(events: DataFrame, key: str, status: str, at: str, late: str = LATE, idle: int = IDLE, buckets: int = 4096) -> DataFrame:
+    """key, status after each batch: requested, staging, complete, never backwards. A state holds the keys of one bucket, each with
+    its own end, as there are many keys of few events: a call and a state a key would take most of the time."""
     order = ["requested", "staging", "complete"]
+    ranks = {x: n for n, x in enumerate(order)}
 
-    def step(k, rows: pd.DataFrame, state: tuple | None) -> tuple[tuple, tuple]:
-        rank = max([state[0] if state else -1, *(order.index(x) for x in rows[status] if x in order)])
-        return (order[rank] if rank >= 0 else None,), (rank,)
-
-    return _walked(events, key, at, f"{status} string", "rank int", step, late, idle)
+    def run(k: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        known = {x: (n, end) for x, n, end in zip(*held.get)} if held.exists else {}
+        now, seen = held.getCurrentWatermarkMs(), {}
+        for b in [] if held.hasTimedOut else batches:
+            keys = [None] * len(b) if k[0] is None else b[key].tolist()
+            for x, s, t in zip(keys, b[status].tolist(), b["_ms"].tolist()):
+                n, last = seen.get(x, (-1, 0))
+                seen[x] = max(n, ranks.get(s, -1)), max(last, t)
+        seen = {x: (max(n, known[x][0]) if x in known else n, max(last + idle * 1000, now + 1)) for x, (n, last) in seen.items()}
+        known = {x: v for x, v in known.items() if v[1] >= now} | seen
+        if known:
+            held.update(tuple(map(list, zip(*((x, *v) for x, v in known.items())))))
+            held.setTimeoutTimestamp(min(end for _, end in known.values()))
+        else:
+            held.remove()
+        if seen:
+            yield pd.DataFrame({key: list(seen), status: [order[n] if n >= 0 else None for n, _ in seen.values()]})
+
+    kind = events.schema[key].dataType.simpleString()
+    bucket = F.when(F.col(key).isNotNull(), F.pmod(F.xxhash64(key), F.lit(buckets)))
+    stamped = events.select(key, status, F.col(at).cast("timestamp").alias("_at")).withWatermark("_at", late)
+    marked = stamped.select("*", F.unix_millis("_at").alias("_ms"), bucket.alias("_bucket"))
+    return marked.groupBy("_bucket").applyInPandasWithState(run, f"{key} {kind}, {status} string", f"keys array<{kind}>, ranks array<int>, ends array<long>", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def breakers(log: DataFrame, key: str, at: str, failed: str, threshold: int = 5, late: str = LATE, idle: int = IDLE, then: str | None = None) -> DataFrame:
