@@ -13,8 +13,8 @@ The key's top bits choose a shard of the filter. Counts are summed in each task
 sorted runs, summed and written into the shard's bits; the number of shards follows the text's size, so a shard stays small,
 while a task may have many. Of a large corpus the runs go to their shards in steps of STEP bits, summed again at each, so that
 a run is never cut at more than 2^STEP borders. While the measured size of all shards is within most_bytes they are broadcast.
-Beyond it, batches of documents send the keys they need to the shards, which answer one request after the other, so nothing
-grows with the corpus on any machine; the scores are the same.
+Beyond it, batches of documents send the keys they need to the shards, one request of a batch to a shard, which answer a few
+requests at a time with a byte a key, so nothing grows with the corpus on any machine; the scores are the same.
 
 Tokens are told apart by 64-bit hashes. Null and empty texts hold the end token alone. Very long texts are scored whole.
 Repeated rows count each in training and are each scored. Rows without a doc_id are trained on and not held out. With nothing to train on every probability is 1.
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -120,11 +121,10 @@ class Counts:
 
 
 class Answered:
-    """The same of the keys that the shards have answered for one batch of documents."""
+    """The same of the keys (sorted) that the shards have answered for one batch of documents."""
 
     def __init__(self, keys: np.ndarray, levels: np.ndarray, counts: np.ndarray):
-        order = np.argsort(keys)
-        self.keys, self.found, self.counts = keys[order], levels[order], counts[order]
+        self.keys, self.found, self.counts = keys, levels, counts
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         return self.found[np.searchsorted(self.keys, keys)]
@@ -133,6 +133,15 @@ class Answered:
         return self.counts[np.searchsorted(self.keys, single_keys(h))]
 
 
+def keys_of(texts: list[bytes | None], words: WordHashes) -> np.ndarray:
+    """The sorted distinct keys that scores() looks up."""
+    each = [tokens(x, words) for x in texts]
+    h = np.concatenate(each)
+    before = np.concatenate([[START], h[:-1]])
+    before[np.cumsum([0, *map(len, each[:-1])])] = START
+    return np.unique(np.concatenate([single_keys(np.unique(h)), pair_keys(before, h)]))
+
+
 def scores(texts: list[bytes | None], words: WordHashes, model, totals: dict, history_prior: float) -> list[tuple]:
     """n_tokens, n_known, base_score and score of each text."""
     each = [tokens(x, words) for x in texts]
@@ -334,58 +343,90 @@ def scored(docs: DataFrame, model: DataFrame, totals: dict, history_prior: float
     return docs.mapInArrow(run, schema)
 
 
-def _routed(docs: DataFrame, model: DataFrame, totals: dict, history_prior: float, batch_rows: int, schema: str, most_tasks: int = 8192) -> DataFrame:
-    bits = totals["bits"]
-    n = max(1, -(-docs.count() // batch_rows))
-    docs = docs.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)))
+def requested(docs: DataFrame, bits: int, batch_rows: int, batch_bytes: int = 8 << 20, most_tasks: int = 8192) -> tuple[DataFrame, DataFrame]:
+    """docs (doc_id, text) with their batch, a batch in one task; and shard, batch and keys: one request of each batch to each
+    shard, whatever the tasks that docs came in. Both read one shuffle of the texts, so both keep all its columns."""
+    size = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    n = max(1, -(-size["n"] // batch_rows), -(-(size["bytes"] or 0) // batch_bytes))
+    docs = docs.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n))).repartition(min(n, most_tasks), "batch")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
+        words, now, held = WordHashes(), None, []
+
+        def out() -> pa.RecordBatch:
+            made = cut([(1, np.unique(np.concatenate(held)), np.empty(0, np.uint64))], bits)
+            return pa.RecordBatch.from_arrays([made.column("part"), pa.array([now] * made.num_rows, pa.int64()), made.column("keys")], names=["shard", "batch", "keys"])
+
         for batch in batches:
-            of = batch.column("batch").to_pylist()
-            keys: dict[int, list] = {}
-            for b, x in zip(of, texts_of(batch)):
-                h = tokens(x, words)
-                keys.setdefault(b, []).append(np.concatenate([single_keys(h), pair_keys(np.concatenate([[START], h[:-1]]), h)]))
-            for b, parts in keys.items():
-                k = np.unique(np.concatenate(parts))
-                made = cut([(1, k, np.empty(0, np.uint64))], bits)
-                yield pa.RecordBatch.from_arrays([made.column("part"), pa.array([b] * made.num_rows, pa.int64()), made.column("keys")], names=["shard", "batch", "keys"])
+            for part in in_chunks(batch):
+                of = part.column("batch").to_numpy()
+                starts = np.flatnonzero(np.append(True, of[1:] != of[:-1])).tolist()
+                for a, b in zip(starts, [*starts[1:], len(of)]):
+                    if now is not None and of[a] != now:
+                        yield out()
+                        held = []
+                    now = int(of[a])
+                    held.append(keys_of(texts_of(part.slice(a, b - a)), words))
+        if held:
+            yield out()
+
+    return docs, docs.sortWithinPartitions("batch").mapInArrow(ask, "shard int, batch long, keys binary")
+
+
+def _routed(docs: DataFrame, model: DataFrame, totals: dict, history_prior: float, batch_rows: int, schema: str, most_tasks: int = 8192) -> DataFrame:
+    bits = totals["bits"]
+    common.small_batches(docs.sparkSession)
+    docs, asked = requested(docs, bits, batch_rows)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A shard's row comes first (its batch is null), then its requests, one at a time."""
+        """A shard's row comes first (its batch is null), then its requests, a few at a time. Only words have exact counts."""
         shard = counts = None
         nothing = Counts(np.zeros(1, np.uint64), np.zeros(1, np.int64), np.ones(1, np.uint64), 64, np.empty(0, np.uint64), np.empty(0, np.int64))
         for held in batches:
             for at in range(0, held.num_rows, 64):
                 made = []
-                for r in held.slice(at, 64).to_pylist():
-                    if r["batch"] is None:
-                        part = np.frombuffer(r["filter"], np.uint64)
-                        shard, counts = r["shard"], Counts(part, np.zeros(1, np.int64), np.array([len(part)], np.uint64), 64, np.frombuffer(r["words"], np.uint64), np.frombuffer(r["word_counts"], np.int64))
+                for k, rows in groupby(held.slice(at, 64).to_pylist(), lambda r: r["shard"]):
+                    rows = list(rows)
+                    for r in rows:
+                        if r["batch"] is None:
+                            part = np.frombuffer(r["filter"], np.uint64)
+                            shard, counts = k, Counts(part, np.zeros(1, np.int64), np.array([len(part)], np.uint64), 64, np.frombuffer(r["words"], np.uint64), np.frombuffer(r["word_counts"], np.int64))
+                    rows = [r for r in rows if r["batch"] is not None]
+                    if not rows:
                         continue
-                    model, k = counts if r["shard"] == shard else nothing, np.frombuffer(r["keys"], np.uint64)
-                    exact = np.zeros(len(k), np.int64)
+                    model, keys = counts if k == shard else nothing, np.frombuffer(b"".join(r["keys"] for r in rows), np.uint64)
+                    exact = np.zeros(len(keys), np.int64)
                     if len(model.words):
-                        place = np.minimum(np.searchsorted(model.words, k), len(model.words) - 1)
-                        exact = np.where(model.words[place] == k, model.word_counts[place], 0)
-                    made.append((r["batch"], r["keys"], model.levels(k).astype(np.uint8).tobytes(), exact.tobytes()))
+                        place = np.minimum(np.searchsorted(model.words, keys), len(model.words) - 1)
+                        exact = np.where(model.words[place] == keys, model.word_counts[place], 0)
+                    levels, some = model.levels(keys).astype(np.uint8), np.flatnonzero(exact)
+                    ends = np.cumsum([len(r["keys"]) // 8 for r in rows])
+                    for r, a, b in zip(rows, [0, *ends[:-1].tolist()], ends.tolist()):
+                        own = some[np.searchsorted(some, a) : np.searchsorted(some, b)]
+                        made.append((r["batch"], k, levels[a:b].tobytes(), (own - a).astype(np.uint32).tobytes(), exact[own].tobytes()))
                 if made:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made), (pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["batch", "keys", "levels", "exact"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made), (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["batch", "shard", "levels", "places", "exact"])
 
     def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        join = lambda c, t: np.frombuffer(b"".join(answers.column(c).to_pylist()), t)
-        keys, first = np.unique(join("keys", np.uint64), return_index=True)
-        model = Answered(keys, join("levels", np.uint8)[first].astype(np.int64), join("exact", np.int64)[first])
+        """The batch's keys are made again from its texts: in order, they are those of the first shard, the second ..."""
         words = WordHashes()
-        parts = [_rows(p, scores(texts_of(p), words, model, totals, history_prior)) for b in texts.to_batches() if b.num_rows for p in in_chunks(b)]
-        return pa.Table.from_batches(parts) if parts else pa.table({"doc_id": texts.column("doc_id"), **{n: pa.array([], t) for n, t in FIELDS}})
+        parts = [p for b in texts.to_batches() if b.num_rows for p in in_chunks(b)]
+        keys = np.unique(np.concatenate([keys_of(texts_of(p), words) for p in parts]))
+        answers = answers.sort_by("shard")
+        levels = np.frombuffer(b"".join(answers.column("levels").to_pylist()), np.uint8)
+        if len(levels) != len(keys):
+            raise RuntimeError(f"{len(levels)} answers to {len(keys)} keys")
+        counts, at = np.zeros(len(keys), np.int64), 0
+        for n, places, exact in zip(pc.binary_length(answers.column("levels")).to_pylist(), answers.column("places").to_pylist(), answers.column("exact").to_pylist()):
+            counts[at + np.frombuffer(places, np.uint32).astype(np.int64)] = np.frombuffer(exact, np.int64)
+            at += n
+        model = Answered(keys, levels, counts)
+        return pa.Table.from_batches([_rows(p, scores(texts_of(p), words, model, totals, history_prior)) for p in parts])
 
-    asked = docs.select("batch", "text").mapInArrow(ask, "shard int, batch long, keys binary")
     held = model.select("shard", "filter", "words", "word_counts").unionByName(asked, allowMissingColumns=True)
     tasks = min(1 << bits, most_tasks)
     held = held.repartitionById(tasks, F.expr(f"cast(shard >> {max(0, bits - tasks.bit_length() + 1)} as int)")).sortWithinPartitions("shard", F.asc_nulls_first("batch"))
-    answers = held.select("shard", "batch", "keys", "filter", "words", "word_counts").mapInArrow(answer, "batch long, keys binary, levels binary, exact binary")
+    answers = held.select("shard", "batch", "keys", "filter", "words", "word_counts").mapInArrow(answer, "batch long, shard int, levels binary, places binary, exact binary")
     return docs.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(score, schema)
 
 
